@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; bounds the memory of a Python worker (a longer text is handled alone).
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 _random = np.random.default_rng(20240229)
 BYTE_VALUE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -130,7 +130,7 @@ class IdCache:
     of each. The cache begins anew beyond most units, which bounds its memory.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 2_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000):
         self.encode, self.most = encode, most
         self.clear()
 

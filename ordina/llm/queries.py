@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ordina.llm import best_fit, quality_rules, token_counts
+from ordina.llm import best_fit, byte_cnn, language_id, quality_rules, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,9 +19,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_histogram(_read(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_read(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_documents(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_token_counts, op7_best_fit_packing)}
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return byte_cnn.classify(docs, byte_cnn.train(docs, _read(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_token_counts, op6_language_id, op7_best_fit_packing, op8_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
