@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ordina.llm import best_fit, byte_cnn, language_id, quality_rules, token_counts
+from ordina.llm import best_fit, byte_cnn, jaccard_join, language_id, quality_rules, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,5 +32,9 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.classify(docs, byte_cnn.train(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_token_counts, op6_language_id, op7_best_fit_packing, op8_quality_classifier)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_token_counts, op6_language_id, op7_best_fit_packing, op8_quality_classifier, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
