@@ -17,7 +17,8 @@ import pyarrow.compute as pc
 CHUNK = 2 << 20
 
 _random = np.random.default_rng(20240229)
-BYTE_VALUE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Two sets of random byte values, for two independent hashes.
+BYTE_VALUES = _random.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -55,17 +56,18 @@ class Bytes:
 
     def __init__(self, buf: np.ndarray, off: np.ndarray, first: int):
         self.buf, self.off, self.first = buf, off, first
-        self._sums: np.ndarray | None = None
+        self._sums: dict[int, np.ndarray] = {}
 
     def __len__(self) -> int:
         return len(self.off) - 1
 
-    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the substrings buf[start:end]."""
-        if self._sums is None:
-            self._sums = np.zeros(len(self.buf) + 1, np.uint64)
-            np.cumsum(BYTE_VALUE[self.buf] * powers(len(self.buf))[: len(self.buf)], out=self._sums[1:])
-        return mix((self._sums[end] - self._sums[start]) * powers(len(self.buf) + 1, inverse=True)[start])
+    def hashes(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+        """64-bit hashes of the substrings buf[start:end]; which: 0 or 1, of two independent hashes."""
+        if which not in self._sums:
+            sums = self._sums[which] = np.zeros(len(self.buf) + 1, np.uint64)
+            np.cumsum(BYTE_VALUES[which][self.buf] * powers(len(self.buf))[: len(self.buf)], out=sums[1:])
+        sums = self._sums[which]
+        return mix((sums[end] - sums[start]) * powers(len(self.buf) + 1, inverse=True)[start])
 
     def words(self, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of every maximal run of bytes that aren't space; runs end with their text."""

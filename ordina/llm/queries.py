@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ordina.llm import best_fit, byte_cnn, jaccard_join, language_id, quality_rules, token_counts
+from ordina.llm import best_fit, byte_cnn, jaccard_join, language_id, quality_rules, suffix_dedup, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_read(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(_read(spark, sf_dir, "documents")).drop("passages")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_histogram(_read(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_token_counts, op6_language_id, op7_best_fit_packing, op8_quality_classifier, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_token_counts, op6_language_id, op7_best_fit_packing, op8_quality_classifier, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
