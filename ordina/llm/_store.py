@@ -8,10 +8,30 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Up to so many host names (253 bytes each at most: 26 MB) are broadcast; more are joined by shuffle.
+BROADCAST_KEYS = 100_000
+SALTS = 32
+
+
+def flag(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """df with the boolean name: whether key is among keys (one column, distinct).
+
+    Many keys are joined by (key, salt), so that a key with a third of all rows is no single task.
+    """
+    keys = keys.toDF("_key").withColumn(name, F.lit(True))
+    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        out = df.join(F.broadcast(keys), key == F.col("_key"), "left")
+    else:
+        keys = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = df.withColumn("_at", F.floor(F.rand(7) * SALTS).cast("int"))
+        out = out.join(keys, (key == F.col("_key")) & (F.col("_at") == F.col("_salt")), "left").drop("_salt", "_at")
+    return out.withColumn(name, F.coalesce(name, F.lit(False))).drop("_key")
+
+
 def flat(df: DataFrame) -> DataFrame:
     """The same rows under the names _0, _1, ...; no name can then clash."""
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))])

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordina.llm._store import durable, flat, pick
+from ordina.llm._store import durable, flag, flat, pick
 from ordina.llm._text import LEAD, Bytes, mix, parts
 
 #: Words that count as repeated lie in windows of so many words.
@@ -28,10 +28,6 @@ SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Up to so many failing hosts are broadcast (a host name of 253 bytes at most: 26 MB); more are joined by shuffle.
-BROADCAST_HOSTS = 100_000
-SALTS = 32
-
 
 @dataclass(frozen=True)
 class Rules:
@@ -130,18 +126,6 @@ def host_verdicts(measured: DataFrame, rules: Rules) -> DataFrame:
     return hosts.withColumn("host_failed", F.greatest("short_rate", "repeating_rate") > rules.max_host_rate)
 
 
-def _without_hosts(df: DataFrame, host: Column, failed: DataFrame) -> DataFrame:
-    """df with host_failed; a large set of hosts is joined by (host, salt), so that no host is one task."""
-    failed = failed.select(F.col("host").alias("_host")).withColumn("host_failed", F.lit(True))
-    if failed.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        out = df.join(F.broadcast(failed), host == F.col("_host"), "left")
-    else:
-        failed = failed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = df.withColumn("_at", F.floor(F.rand(7) * SALTS).cast("int"))
-        out = out.join(failed, (host == F.col("_host")) & (F.col("_at") == F.col("_salt")), "left").drop("_salt", "_at")
-    return out.withColumn("host_failed", F.coalesce("host_failed", F.lit(False))).drop("_host")
-
-
 def _measured(docs: DataFrame, rules: Rules, id: str, text: str, host: str) -> DataFrame:
     rows = pick(docs, doc_id=id, text=text, host=host).select("doc_id", "host", measure("text").alias("m"))
     short, repeating = failures(F.col("m"), rules)
@@ -152,7 +136,7 @@ def judge(docs: DataFrame, rules: Rules = Rules(), id: str = "doc_id", text: str
     """One row per document: doc_id, the measures, base_failed, host, host_failed, kept."""
     rows = _measured(docs, rules, id, text, host)
     failed = host_verdicts(rows, rules).where("host_failed")
-    out = _without_hosts(rows, F.col("host"), failed).withColumn("base_failed", F.col("short") | F.col("repeating"))
+    out = flag(rows, F.col("host"), failed.select("host"), "host_failed").withColumn("base_failed", F.col("short") | F.col("repeating"))
     return out.select("doc_id", *MEASURES, "base_failed", (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"), "host", "host_failed")
 
 
@@ -164,7 +148,7 @@ def keep(docs: DataFrame, rules: Rules = Rules(), id: str = "doc_id", text: str
     failed = host_verdicts(_measured(docs, rules, id, text, host), rules).where("host_failed")
     at = {c: f"_{docs.columns.index(c)}" for c in (id, text, host)}
     rows = flat(docs).withColumn("_m", measure(F.col(at[text])))
-    rows = _without_hosts(rows, F.col(at[host]), failed)
+    rows = flag(rows, F.col(at[host]), failed.select("host"), "host_failed")
     short, repeating = failures(F.col("_m"), rules)
     return rows.where(~short & ~repeating & ~F.col("host_failed")).drop("_m", "host_failed").toDF(*docs.columns)
 
