@@ -183,13 +183,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, id: str = "doc_id", text: str
     rows = _named(docs, id, text)
     kind = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, t1 long, t2 long, n_bytes long, sha256 string, phrases array<struct<core: bigint, whole: bigint, lo: int, n: int>>"
     parsed = durable(rows.mapInArrow(lambda b: _parse(b, length), kind).withColumn("uid", F.monotonically_increasing_id()), "repeats-parse")
+    digests = durable(parsed.drop("phrases"), "repeats-digests")
     phrase = parsed.select("uid", F.explode("phrases").alias("p")).select("uid", "p.*")
     cores = phrase.groupBy("core").agg(F.count("*").alias("c"), F.min("whole").alias("least"), F.max("whole").alias("most")).where("c > 1")
     cores = durable(cores.select("core", (F.col("least") == F.col("most")).alias("same")), "repeats-cores")
     release(spark)
     shared = phrase.join(cores, "core").select("uid", "lo", "n", *[F.when(~F.col("same"), F.col(c)).alias(c) for c in ("core", "whole")])
     shared = durable(shared, "repeats-shared")
-    forget(spark, cores)
+    forget(spark, cores, parsed)
     release(spark)
     mixed = shared.where("core is not null")
     entries = durable(mixed.groupBy("core", "whole").agg(F.count("*").alias("c"), F.min(F.struct("uid", "lo", "n")).alias("first")), "repeats-dictionary")
@@ -198,7 +199,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id: str = "doc_id", text: str
     spans = spans.union(twice.select("uid", "lo", "n", F.lit(CERTAIN)))
     spans = spans.union(entries.select("first.uid", "first.lo", "first.n", F.when(F.col("c") == 1, OPEN).otherwise(PARTNER)))
     spans = spans.groupBy("uid").agg(F.collect_list(F.struct("lo", "n", "kind")).alias("spans"))  # as many as one text has phrases
-    spans = spans.join(parsed.select("uid", "t1", "t2", "n_bytes"), "uid")
+    spans = spans.join(digests.select("uid", "t1", "t2", "n_bytes"), "uid")
     # copies have the same spans; the dictionary took its entries from the first of them
     spans = spans.groupBy("t1", "t2").agg(F.min_by(F.struct("n_bytes", "spans"), "uid").alias("s")).select("t1", "t2", "s.*")
     spans = durable(spans.mapInArrow(lambda b: _settled(b, length), f"t1 long, t2 long, n_bytes long, spans array<{SPAN}>, settled boolean"), "repeats-spans")
@@ -220,7 +221,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id: str = "doc_id", text: str
     found = durable(cut.union(gone).where(F.size("passages") > 0), "repeats-found")
     forget(spark, texts, starts, again, spans)
     release(spark)
-    return parsed.select("doc_id", "t1", "t2", "n_bytes", "sha256"), found
+    return digests.select("doc_id", "t1", "t2", "n_bytes", "sha256"), found
 
 
 def report(docs: DataFrame, length: int = LENGTH, id: str = "doc_id", text: str = "text") -> DataFrame:
