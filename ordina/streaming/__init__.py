@@ -1,0 +1 @@
+"""Reserved: every series of this library is bounded, so there are no streaming operators."""
