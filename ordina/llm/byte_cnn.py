@@ -56,21 +56,28 @@ class Net:
 
 
 def layout(text: Bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The texts in one buffer, each padded by zero bytes to whole blocks (a window's width at least), and their numbers of blocks."""
+    """One row of BLOCK + WIDTH bytes per block: the block's own and the first ones of the text's next block (zeros after its end); and the numbers of blocks."""
     size = np.diff(text.off)
     blocks = -(-(size + WIDTH) // BLOCK)
     begin = (np.cumsum(blocks) - blocks) * BLOCK
-    buf = np.zeros(int(blocks.sum()) * BLOCK + WIDTH, np.uint8)
+    buf = np.zeros(int(blocks.sum()) * BLOCK, np.uint8)
     buf[runs(begin, size)] = text.buf
-    return buf, blocks
-
-
-def windows(buf: np.ndarray, net: Net) -> np.ndarray:
-    """Embedded bytes of every window, one row each."""
-    e = net.embed[buf]
-    d = e.shape[1]
-    n = (len(buf) - WIDTH) // STRIDE
-    return np.lib.stride_tricks.as_strided(e, (n, WIDTH * d), (STRIDE * d * e.itemsize, e.itemsize))
+    rows = np.zeros((int(blocks.sum()), BLOCK + WIDTH), np.uint8)
+    rows[:, :BLOCK] = buf.reshape(-1, BLOCK)
+    inner = np.ones(len(rows), bool)
+    inner[np.cumsum(blocks) - 1] = False
+    on = np.flatnonzero(inner)
+    rows[on, BLOCK:] = rows[on + 1, :WIDTH]
+    return rows, blocks
+
+
+def windows(rows: np.ndarray, net: Net) -> np.ndarray:
+    """Embedded bytes of every window of the blocks, one row each."""
+    e = net.embed[rows]
+    n, width, d = e.shape
+    per = BLOCK // STRIDE
+    view = np.lib.stride_tricks.as_strided(e, (n, per, WIDTH * d), (width * d * e.itemsize, STRIDE * d * e.itemsize, e.itemsize))
+    return view.reshape(n * per, WIDTH * d)
 
 
 def pooled(block_max: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,14 +99,12 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def score(text: Bytes, net: Net) -> np.ndarray:
-    buf, blocks = layout(text)
-    per = BLOCK // STRIDE
-    maxima = np.empty((int(blocks.sum()), net.conv.shape[1]), np.float32)
+    rows, blocks = layout(text)
+    maxima = np.empty((len(rows), net.conv.shape[1]), np.float32)
     step = max(1, PART // BLOCK)
-    for k in range(0, len(maxima), step):  # a long text is as cheap in memory as many short ones
-        n = min(step, len(maxima) - k)
-        a = windows(buf[k * BLOCK : (k + n) * BLOCK + WIDTH], net)[: n * per] @ net.conv
-        maxima[k : k + n] = a.reshape(n, per, -1).max(axis=1)
+    for k in range(0, len(rows), step):  # a long text is as cheap in memory as many short ones
+        part = rows[k : k + step]
+        maxima[k : k + step] = (windows(part, net) @ net.conv).reshape(len(part), BLOCK // STRIDE, -1).max(axis=1)
     return _sigmoid(features(np.maximum(maxima + net.bias, 0), blocks) @ net.out + net.base[0])
 
 
@@ -118,8 +123,8 @@ def fit(texts: list[bytes], labels: np.ndarray, how: Training = Training()) -> N
             size = np.array([len(texts[i]) for i in rows])
             off = np.concatenate([[0], np.cumsum(size)])
             buf, blocks = layout(Bytes(np.frombuffer(b"".join(texts[i] for i in rows), np.uint8), off, 0))
-            n = int(blocks.sum())
-            a = (windows(buf, net)[: n * per] @ net.conv).reshape(n, per, f)
+            n = len(buf)
+            a = (windows(buf, net) @ net.conv).reshape(n, per, f)
             at = a.argmax(axis=1)
             peak = np.take_along_axis(a, at[:, None], axis=1)[:, 0] + net.bias
             block = np.maximum(peak, 0)
@@ -142,9 +147,8 @@ def fit(texts: list[bytes], labels: np.ndarray, how: Training = Training()) -> N
             np.add.at(grad_block, left, grad_chunk * to_left)
             np.add.at(grad_block, right, grad_chunk * ~to_left)
             grad_block *= peak > 0
-            where = (np.arange(n)[:, None] * per + at) * STRIDE
             grad_conv, grad_embed = np.zeros_like(net.conv), np.zeros_like(net.embed)
-            seen = buf[where[:, :, None] + np.arange(WIDTH)]  # n x filters x width
+            seen = buf[np.arange(n)[:, None, None], (at * STRIDE)[:, :, None] + np.arange(WIDTH)]  # n x filters x width
             for w in range(WIDTH):
                 b = seen[:, :, w]
                 grad_conv[w * d : (w + 1) * d] = np.einsum("nf,nfd->df", grad_block, net.embed[b])

@@ -2,13 +2,12 @@
 
 Rules judge pages by host and path. Pages that rules allow make their hosts trusted seeds,
 pages that rules block make them blocked seeds, both in page units. Trust spreads along
-links (personalised PageRank), distrust against them, over edges between hosts. A host is
-blocked when its distrust less its trust exceeds a share of its pages; its pages without a
-rule follow it.
+links (personalised PageRank, not scaled down: the seeds plus what the damped links bring),
+distrust against them, over edges between different hosts. A host is blocked when its
+distrust less its trust exceeds a share of its pages; its pages without a rule follow it.
 
-Edges are links (href, src) of the pages, counted by host pair: absolute ones lead to their
-host, relative ones to the page's own; a host without links keeps its mass. Counting is
-by partial sums and the verdicts return by a checked broadcast or a salted join, so a host
+Edges are links (href, src) of the pages to other hosts, counted by host pair; relative
+links stay on the page's own host and carry nothing. Counting is by partial sums and the verdicts return by a checked broadcast or a salted join, so a host
 with a third of all pages is no hot spot.
 
 Defined cases: a null url or one without `://` has empty host and path, no rule fits, and it is
@@ -78,8 +77,8 @@ def edges(pages: DataFrame) -> DataFrame:
     """(src, dst, links) between hosts, from pages with host and html."""
     link = F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)))
     links = pages.where("host != ''").select("host", link.alias("link"))
-    target = _lower(F.regexp_extract("link", ABSOLUTE, 1))
-    return links.select(F.col("host").alias("src"), F.when(target != "", target).otherwise(F.col("host")).alias("dst")).groupBy("src", "dst").agg(F.count("*").alias("links"))
+    links = links.select(F.col("host").alias("src"), _lower(F.regexp_extract("link", ABSOLUTE, 1)).alias("dst"))
+    return links.where("dst != '' and dst != src").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
 def host_scores(pages: DataFrame, how: Spread = Spread()) -> DataFrame:
@@ -93,13 +92,12 @@ def host_scores(pages: DataFrame, how: Spread = Spread()) -> DataFrame:
     total = both.groupBy(F.col("kind").alias("k"), F.col("a").alias("h")).agg(F.sum("links").alias("total"))
     step = both.join(total, (F.col("kind") == F.col("k")) & (F.col("a") == F.col("h"))).select("kind", "a", "b", (F.col("links") / F.col("total")).alias("share"))
     seed = hosts.select(F.lit(0).alias("kind"), "host", F.col("allow").alias("seed")).union(hosts.select(F.lit(1), "host", "block"))
-    alone = seed.join(step.select(F.col("kind").alias("k"), F.col("a").alias("h")).distinct(), (F.col("kind") == F.col("k")) & (F.col("host") == F.col("h")), "left_anti")
-    step = durable(step.union(alone.select("kind", "host", "host", F.lit(1.0))), "links-steps")
+    step = durable(step, "links-steps")
     mass, old = durable(seed.withColumn("mass", F.col("seed")), "links-mass"), None
     for k in range(1, how.rounds + 1):
         come = mass.select(F.col("kind").alias("k"), F.col("host").alias("h"), "mass").join(step, (F.col("k") == F.col("kind")) & (F.col("h") == F.col("a")))
         come = come.groupBy(F.col("kind").alias("k"), F.col("b").alias("h")).agg(F.sum(F.col("mass") * F.col("share")).alias("come"))
-        mass = mass.join(come, (F.col("kind") == F.col("k")) & (F.col("host") == F.col("h")), "left").select("kind", "host", "seed", ((1 - how.damping) * F.col("seed") + how.damping * F.coalesce("come", F.lit(0.0))).alias("mass"))
+        mass = mass.join(come, (F.col("kind") == F.col("k")) & (F.col("host") == F.col("h")), "left").select("kind", "host", "seed", (F.col("seed") + how.damping * F.coalesce("come", F.lit(0.0))).alias("mass"))
         if k % how.cut == 0 or k == how.rounds:
             done = durable(mass, "links-mass")
             if old is not None:
@@ -130,7 +128,7 @@ def judge_sql(table: str = "pages", rules: tuple[Rule, ...] = RULES, how: Spread
         return "CASE " + " ".join(lines) + " END"
 
     rounds = "".join(
-        f""", m{k} AS (SELECT m.kind, m.host, m.seed, {1 - how.damping} * m.seed + {how.damping} * coalesce(c.come, 0.0) AS mass FROM m{k - 1} m LEFT JOIN
+        f""", m{k} AS (SELECT m.kind, m.host, m.seed, m.seed + {how.damping} * coalesce(c.come, 0.0) AS mass FROM m{k - 1} m LEFT JOIN
  (SELECT s.kind, s.b, sum(x.mass * s.share) AS come FROM m{k - 1} x JOIN step s ON x.kind = s.kind AND x.host = s.a GROUP BY ALL) c ON c.kind = m.kind AND c.b = m.host)"""
         for k in range(1, how.rounds + 1)
     )
@@ -138,14 +136,13 @@ def judge_sql(table: str = "pages", rules: tuple[Rule, ...] = RULES, how: Spread
 WITH parts AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '{HOST}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '{PATH}', 1) AS path FROM {table}),
 ruled AS (SELECT *, {case(lambda r: r.name)} AS rule, {case(lambda r: r.verdict)} AS ruled_verdict FROM parts),
 links AS (SELECT host, unnest(regexp_extract_all(html, {quoted(LINK)}, 1)) AS link FROM ruled WHERE host <> ''),
-held AS (SELECT host AS src, CASE WHEN t <> '' THEN t ELSE host END AS dst, count(*) AS links
- FROM (SELECT host, translate(regexp_extract(link, '{ABSOLUTE}', 1), '{UPPER}', '{LOWER}') AS t FROM links) GROUP BY ALL),
+held AS (SELECT host AS src, t AS dst, count(*) AS links
+ FROM (SELECT host, translate(regexp_extract(link, '{ABSOLUTE}', 1), '{UPPER}', '{LOWER}') AS t FROM links) WHERE t <> '' AND t <> host GROUP BY ALL),
 own AS (SELECT host, count(*) AS pages, count(*) FILTER (ruled_verdict = 'allow')::DOUBLE AS allowed, count(*) FILTER (ruled_verdict = 'block')::DOUBLE AS blocked FROM ruled WHERE host <> '' GROUP BY host),
 hosts AS (SELECT * FROM own UNION ALL SELECT DISTINCT dst, 0, 0.0, 0.0 FROM held WHERE dst NOT IN (SELECT host FROM own)),
 way AS (SELECT 0 AS kind, src AS a, dst AS b, links FROM held UNION ALL SELECT 1, dst, src, links FROM held),
-linked AS (SELECT kind, a, b, links / sum(links) OVER (PARTITION BY kind, a) AS share FROM way),
-m0 AS (SELECT kind, host, seed, seed AS mass FROM (SELECT 0 AS kind, host, allowed AS seed FROM hosts UNION ALL SELECT 1, host, blocked FROM hosts)),
-step AS (SELECT * FROM linked UNION ALL SELECT kind, host, host, 1.0 FROM m0 WHERE NOT EXISTS (SELECT 1 FROM linked l WHERE l.kind = m0.kind AND l.a = m0.host)){rounds},
+step AS (SELECT kind, a, b, links / sum(links) OVER (PARTITION BY kind, a) AS share FROM way),
+m0 AS (SELECT kind, host, seed, seed AS mass FROM (SELECT 0 AS kind, host, allowed AS seed FROM hosts UNION ALL SELECT 1, host, blocked FROM hosts)){rounds},
 bad AS (SELECT host FROM (SELECT host, sum(mass) FILTER (kind = 1) - sum(mass) FILTER (kind = 0) AS d FROM m{how.rounds} GROUP BY host) JOIN hosts USING (host) WHERE d > {how.threshold} * pages)
 SELECT page_id, host, path, rule, coalesce(ruled_verdict, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict, host IN (SELECT host FROM bad) AS host_blocked FROM ruled
 """

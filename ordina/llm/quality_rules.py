@@ -55,8 +55,8 @@ def _duplicate_lines(text: Bytes, word_start: np.ndarray) -> np.ndarray:
     is_end = text.buf == 10
     line_start = np.union1d(np.flatnonzero(is_end) + 1, text.off[:-1])
     line_start = line_start[line_start < len(text.buf)]
-    limit = np.append(line_start[1:], len(text.buf))
-    line_end = limit - (is_end[limit - 1] if len(limit) else 0)
+    limit = np.append(line_start[1:], len(text.buf))[: len(line_start)]
+    line_end = limit - is_end[limit - 1]
     worded = np.diff(np.append(np.searchsorted(word_start, line_start), len(word_start))) > 0
     line_start, line_end = line_start[worded], line_end[worded]
     rows = np.searchsorted(text.off, line_start, side="right") - 1

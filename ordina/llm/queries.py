@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordina.llm import best_fit, byte_cnn, jaccard_join, language_id, link_rank, piece_lattice, quality_rules, suffix_dedup, token_counts, vector_tree
+from ordina.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,4 +55,3 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_token_counts, op4_sentencepiece, op5_vector_tree, op6_language_id, op7_best_fit_packing, op8_quality_classifier, op9_link_rank, op10_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {"op9_link_rank": link_rank.judge_sql()}
