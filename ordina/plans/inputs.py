@@ -33,7 +33,7 @@ SERIES: dict[str, str] = {
           CASE WHEN event_type = 'error' THEN NULL ELSE 100e0 + value END AS f0 FROM {ticks} t""",
     "spans": "SELECT track, frame_idx, frame_idx * 7e-1 AS start_s, frame_idx * 7e-1 + 2e-1 + (k % 10) / 1e1 AS end_s, event_type AS label FROM {ticks} t",
     "marks": "SELECT track, frame_idx, frame_idx * 31e-2 + (k % 7) / 1e2 AS t, 1e-1 + (k % 90) / 1e2 AS confidence, CASE event_type WHEN 'view' THEN 'mix' WHEN 'click' THEN 'stem' WHEN 'error' THEN 'repetition' ELSE 'section' END AS kind FROM {ticks} t WHERE k % 5 < 3",
-    "cells": "SELECT track, frame_idx, CAST(k % 32 AS INT) AS bin, -8e1 + value % 6e1 AS vocals_db, -8e1 + (k * 7) % 60 * 1e0 AS instr_db FROM {ticks} t",
+    "cells": "SELECT track, frame_idx, CAST(k % 32 AS INT) AS bin, -5e1 + 3e1 * sin(value) AS vocals_db, -5e1 + 3e1 * cos(value * 3e0 + k) AS instr_db FROM {ticks} t",
     "waves": """
         SELECT track, frame_idx AS sample_idx, sin(value) AS a, sin(value) * 5e-1 + (k % 10) / 1e2 AS b, sin(value) AS source, sin(value) * 6e-1 AS vocals,
           sin(value) * 4e-1 + CASE WHEN k = 3 THEN 1e-2 ELSE 0e0 END AS accompaniment FROM {ticks} t""",
