@@ -79,7 +79,11 @@ def clip(chunks: DataFrame, start_s: float | None = None, end_s: float | None =
 def deinterleave(chunks: DataFrame) -> DataFrame:
     """[L, R, L, R, ...] chunks to a row per channel."""
     n = F.floor(F.size("samples") / 2).cast("int")
-    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("channel"), F.transform(F.sequence(F.lit(1), n), lambda i, k=k: F.element_at("samples", 2 * i - 1 + k)).alias("samples")) for k in (0, 1)]))
+
+    def side(k: int) -> Column:
+        return F.struct(F.lit(k).alias("channel"), F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at("samples", 2 * i - 1 + k)).alias("samples"))
+
+    sides = F.explode(F.array(side(0), side(1)))
     keep = [c for c in chunks.columns if c not in ("samples", "channel", "start_sample")]
     return chunks.where(n > 0).select(*keep, F.floor(F.col("start_sample") / 2).alias("start_sample"), sides.alias("_s")).select(*keep, "start_sample", "_s.*")
 
