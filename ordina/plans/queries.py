@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordina.functions import scalar, text
-from ordina.operators import alignment, boundaries, dsp, matching, pitch, rhythm, sections, series, structure, voice
+from ordina.operators import alignment, boundaries, dsp, matching, pitch, rhythm, sections, selection, series, structure, voice
 from ordina.plans import inputs
 from ordina.sources import generators
 
@@ -682,6 +682,165 @@ def _(t, spark, sf):
     return dsp.browser_frames(dsp.framed(generators.chunks(generators.phases(spark)), KEY, 2048, 320), generators.RATE)
 
 
+@add("prj12_normalized_selection", "track frame_idx a:d b:d", """
+ SELECT track, frame_idx, greatest(0, least(x, y - 0.05)) AS a, y AS b FROM (SELECT track, frame_idx, x, greatest(y, least(5.0::DOUBLE, x + 0.05)) AS y FROM (SELECT track, frame_idx, greatest(0, least(5, least(p, q))) AS x, greatest(0, least(5, greatest(p, q))) AS y
+ FROM (SELECT track, frame_idx, start_s - 2e0 AS p, 6e0 - end_s AS q FROM {spans})))""")
+def _(t, spark, sf):
+    a, b = selection.normalized(F.col("start_s") - 2, 6 - F.col("end_s"), F.lit(5.0))
+    return t("spans").select("track", "frame_idx", a.alias("a"), b.alias("b"))
+
+
+@add("prj14_context", "track frame_idx distance", """
+ WITH r AS (SELECT track, frame_idx, label = 'view' AS c FROM {spans}), d AS (SELECT a.track, a.frame_idx, min(abs(a.frame_idx - b.frame_idx)) AS distance FROM r a JOIN r b ON a.track = b.track AND b.c AND abs(a.frame_idx - b.frame_idx) <= 2 GROUP BY ALL) SELECT * FROM d""")
+def _(t, spark, sf):
+    return selection.context(t("spans"), KEY, "frame_idx", F.col("label") == "view")
+
+
+@add("prj17_reconstruction", "track sample_idx sum:d residual:d", "SELECT track, sample_idx, vocals + accompaniment AS sum, source - (vocals + accompaniment) AS residual FROM {waves}")
+def _(t, spark, sf):
+    part = lambda c: t("waves").select("track", "sample_idx", F.col(c).alias("sample"))
+    return selection.reconstruction(part("source"), part("vocals"), part("accompaniment"), KEY)
+
+
+@add("prj18_downmix", "track sample_idx sample:d", "SELECT track, sample_idx, (a + b) / 2 AS sample FROM {waves}")
+def _(t, spark, sf):
+    both = t("waves").select("track", "sample_idx", F.explode(F.array("a", "b")).alias("sample"))
+    return selection.downmix(both, KEY)
+
+
+@add("arr01_resampled", "track sample_idx sample:d", """
+ WITH n AS (SELECT track, count(*) AS n FROM {waves} GROUP BY track), k AS (SELECT track, n, unnest(range(CAST(floor(n * 0.75 + 0.5) AS BIGINT))) AS k FROM n)
+ SELECT k.track, k.k AS sample_idx, x.a + (y.a - x.a) * (k.k * 4e0 / 3 - floor(k.k * 4e0 / 3)) AS sample FROM k JOIN {waves} x ON x.track = k.track AND x.sample_idx = least(floor(k.k * 4e0 / 3), n - 1) JOIN {waves} y ON y.track = k.track AND y.sample_idx = least(floor(k.k * 4e0 / 3) + 1, n - 1)""")
+def _(t, spark, sf):
+    return selection.resampled(t("waves").select("track", "sample_idx", F.col("a").alias("sample")), KEY, 4, 3)
+
+
+@add("agg18_voicing", "track voiced_fraction:d median_abs_cents:d", """
+ SELECT track, avg((f0_hz IS NOT NULL)::INT) AS voiced_fraction, median(100 * abs(m - round_even(m, 0))) AS median_abs_cents FROM (SELECT track, f0_hz, 69 + 12 * log2(f0_hz / 440) AS m FROM {tones}) GROUP BY track""")
+def _(t, spark, sf):
+    return selection.voicing(t("tones"), KEY)
+
+
+@add("agg13_triangle_summary", "track mean:d median:d max:d pairs", """
+ WITH f AS (SELECT track, frame_idx, list_transform(embedding[1:6], lambda x: x::DOUBLE) AS x FROM {vectors} WHERE least(frame_idx, 12) < 12)
+ SELECT track, avg(s) AS mean, median(s) AS median, max(s) AS max, count(*) AS pairs FROM (SELECT a.track, list_cosine_similarity(a.x, b.x) AS s FROM f a JOIN f b ON a.track = b.track AND a.frame_idx < b.frame_idx) GROUP BY track""")
+def _(t, spark, sf):
+    f = _features(t).where("frame_idx < 12").select("track", F.col("frame_idx").alias("cycle"), "features")
+    pairs = structure.cycle_pairs(f, KEY, "features").withColumn("distance", scalar.cosine(F.col("a"), F.col("b")))
+    return structure.triangle_summary(pairs, KEY)
+
+
+@add("agg29_block_similarity", "track i similarity:d", """
+ WITH f AS (SELECT track, frame_idx, list_transform(embedding[1:6], lambda x: x::DOUBLE) AS x FROM {vectors} WHERE least(frame_idx, 40) < 40),
+ p AS (SELECT a.track, a.frame_idx AS i, list_cosine_similarity(a.x, b.x) AS s FROM f a JOIN f b ON a.track = b.track AND b.frame_idx = a.frame_idx + 5),
+ w AS (SELECT track, i, avg(s) OVER (PARTITION BY track ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS similarity FROM p) SELECT f.track, f.frame_idx AS i, coalesce(w.similarity, -1) AS similarity FROM f LEFT JOIN w ON w.track = f.track AND w.i = f.frame_idx""")
+def _(t, spark, sf):
+    return structure.block_similarity(_features(t), KEY, 5, 4)
+
+
+@add("dsp16_template_similarity", "track start similarity:d", """
+ WITH f AS (SELECT track, frame_idx, list_transform(embedding[1:6], lambda x: x::DOUBLE) AS x FROM {vectors} WHERE least(frame_idx, 40) < 40)
+ SELECT b.track, b.frame_idx - a.frame_idx + 3 AS start, avg(list_cosine_similarity(a.x, b.x)) AS similarity FROM f a JOIN f b ON a.track = b.track AND a.frame_idx BETWEEN 3 AND 6 GROUP BY b.track, b.frame_idx - a.frame_idx HAVING count(*) = 4""")
+def _(t, spark, sf):
+    return selection.template_similarity(_features(t), KEY, 3, 4)
+
+
+@add("win16_interval_changes", "track start_s:d level_moved brightness_moved", """
+ WITH m AS (SELECT s.track, s.start_s, median(db) AS d, median(tilt) AS t FROM {spans} s JOIN {levels} l ON l.track = s.track AND l.t BETWEEN s.start_s AND s.end_s GROUP BY s.track, s.start_s, s.end_s)
+ SELECT track, start_s, coalesce(abs(d - lag(d) OVER w) >= 3, false) AS level_moved, coalesce(abs(t - lag(t) OVER w) >= 3, false) AS brightness_moved FROM m WINDOW w AS (PARTITION BY track ORDER BY start_s)""")
+def _(t, spark, sf):
+    rows = voice.interval_medians(t("spans"), t("levels").withColumnRenamed("db", "rms_db"), KEY)
+    return voice.interval_changes(rows, KEY).select("track", "start_s", F.array_contains("changes", "level").alias("level_moved"), F.array_contains("changes", "brightness").alias("brightness_moved"))
+
+
+@add("win21_novelty", "track frame_idx novelty:d", """
+ WITH a AS (SELECT track, median(db) AS m FROM {levels} GROUP BY track), b AS (SELECT l.track, median(abs(db - m)) AS mad FROM {levels} l JOIN a USING (track) GROUP BY l.track),
+ x AS (SELECT l.track, frame_idx, (db - m) / (mad + 1e-9) AS x FROM {levels} l JOIN a USING (track) JOIN b USING (track)), s AS (SELECT track, frame_idx, sum(x) OVER (PARTITION BY track ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4 AS s FROM x),
+ d AS (SELECT track, frame_idx, coalesce(abs(s - lag(s, 6) OVER (PARTITION BY track ORDER BY frame_idx)), 0) AS d FROM s) SELECT track, frame_idx, sum(d) OVER (PARTITION BY track ORDER BY frame_idx ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) / 2 AS novelty FROM d""")
+def _(t, spark, sf):
+    return boundaries.novelty(t("levels"), KEY, "db", 4, 6, 2)
+
+
+@add("win26_boundary_times", "track t:d", PEAK_SQL + "SELECT DISTINCT track, t FROM (SELECT track, frame_idx * 441 / 44100 AS t FROM cut UNION ALL SELECT track, 0 FROM {logits} UNION ALL SELECT track, count(*) * 441 / 44100 FROM {logits} GROUP BY track)")
+def _(t, spark, sf):
+    rows = t("logits")
+    return sections.boundary_times(sections.section_boundaries(rows, KEY, 9, 12, 12), rows.groupBy("track").agg(F.count("*").alias("frames")), KEY)
+
+
+@add("win27_strength", "track frame_idx strength:d", ONSET_SQL.replace("+ 1e-6 AS INT", "AS INT") + "SELECT track, frame_idx, greatest(0, max(value) OVER (PARTITION BY track ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) AS strength FROM env")
+def _(t, spark, sf):
+    return rhythm.strength(_envelope(t), KEY, 2)
+
+
+@add("top11_low_energy", "track cut_id low_time:d low_rms:d", """
+ WITH l AS (SELECT track, t, (confidence + 1e-2) AS rms FROM {levels}), c AS (SELECT track, frame_idx AS cut_id, start_s + 1e-2 AS t0 FROM {spans}),
+ b AS (SELECT c.track, cut_id, l.t, l.rms, row_number() OVER (PARTITION BY c.track, cut_id ORDER BY l.rms, l.t) AS k FROM c JOIN l ON l.track = c.track AND abs(l.t - t0) <= 0.35 + 1e-9 AND l.rms < 0.5)
+ SELECT c.track, c.cut_id, coalesce(b.t, t0) AS low_time, coalesce(b.rms, 0.5) AS low_rms FROM c LEFT JOIN b ON b.track = c.track AND b.cut_id = c.cut_id AND k = 1""")
+def _(t, spark, sf):
+    cuts = t("spans").select("track", F.col("frame_idx").alias("cut_id"), (F.col("start_s") + 0.01).alias("time"), F.lit(0.5).alias("raw_rms"))
+    return rhythm.low_energy_time(cuts, t("levels").select("track", "t", (F.col("confidence") + 0.01).alias("rms")), KEY, "time")
+
+
+@add("top12_models_in_order", "track edo position", TUNING_SQL + "SELECT track, edo, row_number() OVER (PARTITION BY track ORDER BY weighted_rmse_cents, edo) AS position FROM models")
+def _(t, spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("track").orderBy("weighted_rmse_cents", "edo")
+    return pitch.tuning_models(t("segments"), KEY).withColumn("position", F.row_number().over(w))
+
+
+@add("set01_boundary_union", "track t:d source", "SELECT track, t, 'mix' AS source FROM {marks} WHERE kind = 'mix' UNION ALL SELECT track, t, 'stem' FROM {marks} WHERE kind = 'stem'")
+def _(t, spark, sf):
+    part = lambda k: t("marks").where(F.col("kind") == k).select("track", "t")
+    return boundaries.boundary_union(mix=part("mix"), stem=part("stem")).withColumnRenamed("kind", "source")
+
+
+@add("set06_chronicle", "track entry kind start_s:d", """
+ WITH e AS (SELECT track, start_s, end_s, 'state' AS kind, 0 AS r FROM {spans} WHERE label = 'view' UNION ALL SELECT track, start_s, end_s, 'movement', 1 FROM {spans} WHERE label = 'click' UNION ALL SELECT track, start_s, end_s, 'register', 1 FROM {spans} WHERE label = 'error')
+ SELECT track, row_number() OVER (PARTITION BY track ORDER BY start_s, r, kind, end_s) AS entry, kind, start_s FROM e""")
+def _(t, spark, sf):
+    part = lambda k: t("spans").where(F.col("label") == k)
+    return voice.chronicle(part("view"), part("click"), part("error"), KEY)
+
+
+@add("prj16_readings", "track t:d pitch harmony", CLASS_SQL + """
+ SELECT track, t, CASE WHEN kind = 'quiet' THEN 'not applicable' WHEN f0 IS NULL OR confidence < 0.45 THEN 'unstable' WHEN confidence >= 0.7 THEN 'clear' ELSE 'tentative' END AS pitch,
+  CASE WHEN kind = 'quiet' THEN 'not applicable' WHEN hnr >= 10 AND hnr >= 7 THEN 'harmonic' WHEN hnr < 3 THEN 'noisy' ELSE 'moderate' END AS harmony FROM k""")
+def _(t, spark, sf):
+    c = F.col
+    return _classified(t).select("track", "t", voice.pitch_reading(c("kind"), c("f0"), c("confidence")).alias("pitch"), voice.harmonic_reading(c("kind"), c("hnr"), c("hnr")).alias("harmony"))
+
+
+@add("snk04_lag_table", "track lag_frames combined_similarity:d mfcc:d", FEATURES_SQL + "SELECT track, lag_frames, similarity AS combined_similarity, similarity AS mfcc FROM profile")
+def _(t, spark, sf):
+    from ordina.sources import writers
+
+    profile = structure.lag_profile(_features(t), KEY, 1, 12).withColumn("view", F.lit("mfcc"))
+    return writers.lag_profile_table(structure.combine_views(profile, KEY), KEY, 0.5, ["mfcc"])
+
+
+@add("dsp17_active_end", "track active_end_s:d", "SELECT track, max(t) AS active_end_s FROM (SELECT *, max(zcr) OVER (PARTITION BY track) AS m FROM {levels}) WHERE zcr > 0 AND 20 * log10(zcr / m) > -20 GROUP BY track")
+def _(t, spark, sf):
+    return dsp.active_end(t("levels").select("track", F.col("t").alias("time_s"), F.col("zcr").alias("rms")), KEY, 20.0)
+
+
+@add("agg17_band_energy", "track energy_lt_300_ratio:d energy_300_1000_ratio:d energy_1000_4000_ratio:d energy_ge_4000_ratio:d", """
+ SELECT track, coalesce(sum(value) FILTER (k < 6) / sum(value), 0) AS energy_lt_300_ratio, coalesce(sum(value) FILTER (k >= 6 AND k < 20) / sum(value), 0) AS energy_300_1000_ratio, coalesce(sum(value) FILTER (k >= 20 AND k < 80) / sum(value), 0) AS energy_1000_4000_ratio, coalesce(sum(value) FILTER (k >= 80) / sum(value), 0) AS energy_ge_4000_ratio FROM {ticks} GROUP BY track""")
+def _(t, spark, sf):
+    return dsp.band_energy(t("ticks").select("track", (F.col("k") * 50.0).alias("hz"), F.col("value").alias("power")), KEY)
+
+
+@add("top05_prominent_peaks", "track frame_idx db:d prominence:d")
+def _(t, spark, sf):
+    return dsp.prominent_peaks(t("levels"), KEY, "db", 4, 10.0)
+
+
+@add("jn10_mora_distances", "track i j distance:d")
+def _(t, spark, sf):
+    units = F.array(*[F.substring("label", k, 1) for k in range(1, 6)])
+    return alignment.mora_matrix(t("spans").where("frame_idx < 6").select("track", F.col("frame_idx").alias("cycle"), units.alias("morae")), KEY)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: q.frame for name, q in QUERIES.items()}
 
