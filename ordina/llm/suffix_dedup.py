@@ -206,8 +206,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, id: str = "doc_id", text: str
     forget(spark, shared, entries)
     release(spark)
     open_ = spans.where("not settled").select("t1", "t2", "spans")
-    texts = rows.select("t1", "t2", "text").join(open_, ["t1", "t2"]).groupBy("t1", "t2").agg(F.first(F.struct("text", "spans")).alias("s"))
-    texts = durable(texts.select("t1", "t2", "s.*").withColumn("g", F.monotonically_increasing_id()), "repeats-texts")
+    # copies meet in each task before the shuffle
+    texts = rows.groupBy("t1", "t2").agg(F.first("text").alias("text")).join(open_, ["t1", "t2"])
+    texts = durable(texts.withColumn("g", F.monotonically_increasing_id()), "repeats-texts")
     release(spark)
     strings = texts.where(F.exists("spans", lambda s: s["kind"] > CERTAIN)).select("g", "text", "spans").mapInArrow(lambda b: _strings(b, length), "h1 long, h2 long, g long, at int, open boolean")
     again = durable(strings.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2"), "repeats-strings")
