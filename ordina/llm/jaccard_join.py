@@ -282,9 +282,9 @@ def join(docs: DataFrame, how: Join = Join(), id: str = "doc_id", text: str = "t
     # blocks: a member's place in its cluster comes from its node's rank, a cluster of one block stays whole
     width = member.groupBy("root").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / how.block).cast("int"))
     placed = member.join(width.select("root", "blocks"), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = rows.withColumn("k", F.arrow_udf(lambda t: _identity(t, how.n), T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])).asNondeterministic()("text")).select("doc_id", "text", "k.a", "k.b")
-    full = texts.join(placed, ["a", "b"])
-    full = durable(full.groupBy("node").agg(F.first(F.struct("root", "blocks", "block", "copies", "signature", "text")).alias("m")).select("node", "m.*"), "jaccard-texts")
+    texts = rows.withColumn("k", F.arrow_udf(lambda t: _identity(t, how.n), T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])).asNondeterministic()("text")).select("text", "k.a", "k.b").where("a is not null")
+    full = texts.groupBy("a", "b").agg(F.first("text").alias("text")).join(placed, ["a", "b"])  # copies meet in each task first
+    full = durable(full.drop("a", "b"), "jaccard-texts")
     # every block meets itself and each later block once; a block goes to as many pairs as its cluster has blocks
     pairs = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("root", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "copies", "signature", "text")
