@@ -34,7 +34,7 @@ from ordina.llm._store import durable, pick
 
 @dataclass(frozen=True)
 class Index:
-    """sample: rows the tree is fitted on; leaf: rows of a leaf aimed at; recall: what the calibration must reach; part: rows of a leaf compared in one task."""
+    """sample: rows the tree is fitted on; leaf: rows of a leaf aimed at; recall: what the calibration must reach; part and block: rows of a leaf, and queries of it, compared in one task."""
 
     branching: int = 16
     sample: int = 20_000
@@ -43,6 +43,7 @@ class Index:
     calibration: int = 200
     recall: float = 0.97
     part: int = 4096
+    block: int = 4096
     seed: int = 23
 
 
@@ -225,13 +226,20 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, how: Index = Index(
     shared = spark.sparkContext.broadcast(tree)
     leaf = F.arrow_udf(lambda e: pa.array(shared.value.assign(_matrix(e))) if len(e) else pa.array([], pa.int64()), T.LongType()).asNondeterministic()
     indexed = durable(rows.withColumn("leaf", leaf("embedding")), "vectors-leaves")
-    # as many rows as the tree has leaves
-    counts = indexed.groupBy("leaf").agg(F.count("*").alias("n")).select(F.col("leaf").alias("l"), F.ceil(F.col("n") / how.part).cast("int").alias("parts"))
     schema = T.StructType([T.StructField("query_id", rows.schema["vec_id"].dataType), T.StructField("query", rows.schema["embedding"].dataType), T.StructField("leaf", T.LongType())])
-    asked = rows.where(queries).dropDuplicates(["vec_id"]).mapInArrow(lambda batches: _probes(batches, shared.value, visits), schema)
-    asked = asked.join(counts, F.col("leaf") == F.col("l")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = indexed.join(counts, F.col("leaf") == F.col("l")).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-    met = asked.select("query_id", "query", "leaf", "part").groupBy("leaf", "part").cogroup(dealt.select("vec_id", "embedding", "leaf", "part").groupBy("leaf", "part"))
+    asked = durable(rows.where(queries).dropDuplicates(["vec_id"]).mapInArrow(lambda batches: _probes(batches, shared.value, visits), schema), "vectors-probes")
+
+    def parts(df: DataFrame, name: str, most: int) -> DataFrame:
+        """Leaf and its number of parts: no more rows than the tree has leaves, so no more than the sample."""
+        return df.groupBy("leaf").agg(F.ceil(F.count("*") / most).cast("int").alias(name)).withColumnRenamed("leaf", "l")
+
+    split = F.broadcast(parts(indexed, "parts", how.part).join(parts(asked, "blocks", how.block), "l"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    some = lambda id, n: F.pmod(F.xxhash64(id), F.col(n)).cast("int")
+    asked = asked.join(split, F.col("leaf") == F.col("l")).withColumns({"part": every("parts"), "block": some("query_id", "blocks")})
+    dealt = indexed.join(split, F.col("leaf") == F.col("l")).withColumns({"part": some("vec_id", "parts"), "block": every("blocks")})
+    by = ["leaf", "part", "block"]
+    met = asked.select("query_id", "query", *by).groupBy(*by).cogroup(dealt.select("vec_id", "embedding", *by).groupBy(*by))
     found = met.applyInPandas(_meet(k), T.StructType([f for f in result if f.name != "rank"]))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

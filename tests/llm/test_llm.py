@@ -304,7 +304,7 @@ def test_vector_tree(spark):
     rows = [(int(k), v.tolist(), 1) for k, v in enumerate(x)]
     rows += [(5000, None, 1), (5100, [0.0] * 16, 1), (5200, [float("nan")] * 16, 1), (5300, [None] * 16, 1), (5400, [1.0] * 3, 1), (None, [1.0] * 16, 1), rows[3], rows[100]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    how = vector_tree.Index(leaf=32, part=100)
+    how = vector_tree.Index(leaf=32, part=100, block=4)
     got = defaultdict(list)
     for r in vector_tree.search(df, F.col("vec_id") % 100 == 0, how=how).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
