@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,8 +33,21 @@ def flag(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
     return out.withColumn(name, F.coalesce(name, F.lit(False))).drop("_key")
 
 
+#: Rows and bytes that go to a Python worker at once; tables of texts need less than the usual 10,000 rows.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to these sizes; smaller ones stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key), re.IGNORECASE)
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
+
+
 def flat(df: DataFrame) -> DataFrame:
-    """The same rows under the names _0, _1, ...; no name can then clash."""
+    """The same rows under the names _0, _1, ...; no name can then clash. What follows runs in small batches."""
+    small_batches(df.sparkSession)
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
 
 

@@ -132,7 +132,7 @@ class IdCache:
     of each. The cache begins anew beyond most units, which bounds its memory.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 600_000):
         self.encode, self.most = encode, most
         self.clear()
 

@@ -20,7 +20,7 @@ END_OF_WORD = "</w>"
 PLAIN = regex.compile(r"[\x20-\x7eÀ-įĲ-ňŊ-ž]*")
 #: A byte that UTF-8 never holds, in place of the end-of-word mark.
 END = b"\xff"
-MEMO = 150_000
+MEMO = 100_000
 
 _cache: dict[str, IdCache] = {}
 
