@@ -7,6 +7,8 @@ values, finished by a bijective mixer.
 
 from __future__ import annotations
 
+import ctypes
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; bounds the memory of a Python worker (a longer text is handled alone).
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _random = np.random.default_rng(20240229)
 #: Two sets of random byte values, for two independent hashes.
@@ -105,6 +107,18 @@ def buffers(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return buf, off
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+_calls = itertools.count(1)
+
+
+def give_back() -> None:
+    """Every few batches, return freed memory to the system: workers live on between stages, and allocators keep what they once had."""
+    if next(_calls) % 4 == 0:
+        pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
+
+
 def parts(texts: pa.Array, limit: int = CHUNK) -> Iterator[Bytes]:
     """The texts in runs of at most limit bytes; a longer text comes alone and whole."""
     buf, off = buffers(texts)
@@ -113,6 +127,7 @@ def parts(texts: pa.Array, limit: int = CHUNK) -> Iterator[Bytes]:
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
         yield Bytes(buf[off[i] : off[j]], off[i : j + 1] - off[i], i)
         i = j
+    give_back()
 
 
 def runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ from ordina.llm._text import Bytes, parts, runs
 
 WIDTH, STRIDE, BLOCK = 8, 2, 256
 #: Bytes scored at once.
-PART = 1 << 19
+PART = 1 << 17
 
 
 @dataclass(frozen=True)
