@@ -5,7 +5,8 @@ goes down it to a leaf. A query opens nodes best-bin-first from a priority queue
 centre first) until it has visited a number of leaves, which is calibrated: queries out of
 the sample widen their visits until they find the asked share of their true neighbours.
 Queries then meet the vectors of the leaves they visit, block by block, and distances are
-computed in double precision on the original vectors.
+computed in double precision on the original vectors. The first few leaves of a query give a
+radius, the distance of its k-th nearest there; from all others only vectors within it return.
 
 Leaves grow with neither the rows nor hot vectors: a leaf of many rows (a vector that a third
 of the rows share) is split by salt, its queries go to each part, and every part returns its
@@ -34,7 +35,8 @@ from ordina.llm._store import durable, pick
 
 @dataclass(frozen=True)
 class Index:
-    """sample: rows the tree is fitted on; leaf: rows of a leaf aimed at; recall: what the calibration must reach; part and block: rows of a leaf, and queries of it, compared in one task."""
+    """sample: rows the tree is fitted on; leaf: rows of a leaf aimed at; recall: what the calibration must reach; part and block: rows of a leaf, and queries of it, compared in one task;
+    first: leaves that give a query its radius."""
 
     branching: int = 16
     sample: int = 20_000
@@ -44,6 +46,7 @@ class Index:
     recall: float = 0.97
     part: int = 4096
     block: int = 4096
+    first: int = 4
     seed: int = 23
 
 
@@ -174,26 +177,26 @@ def _usable(embedding: Column) -> Column:
 
 
 def _probes(batches: Iterator[pa.RecordBatch], tree: Tree, visits: int) -> Iterator[pa.RecordBatch]:
-    """(vec_id, embedding) to a row per visited leaf."""
+    """(vec_id, embedding) to a row per visited leaf, with its place in the order of visits."""
     for batch in batches:
         if not batch.num_rows:
             continue
         leaves = [tree.visits(q, visits) for q in _matrix(batch.column("embedding"))]
         row = np.repeat(np.arange(batch.num_rows), [len(v) for v in leaves])
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(row)), batch.column("embedding").take(pa.array(row)), pa.array(np.concatenate(leaves).astype(np.int64))], names=["query_id", "query", "leaf"])
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(row)), batch.column("embedding").take(pa.array(row)), pa.array(np.concatenate(leaves).astype(np.int64)), pa.array(np.concatenate([np.arange(len(v)) for v in leaves]).astype(np.int32))], names=["query_id", "query", "leaf", "visit"])
 
 
 def _meet(k: int):
     def meet(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        """The k nearest vectors of the part for each query; ties to the smaller id."""
+        """The k nearest vectors of the part within each query's radius; ties to the smaller id."""
         if not len(queries) or not len(vectors):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         ids, first = np.unique(vectors.vec_id.to_numpy(), return_index=True)
         x = np.stack(vectors.embedding.to_numpy()[first]).astype(np.float64)
         out = []
-        for query_id, q in zip(queries.query_id, queries["query"], strict=True):
+        for query_id, q, radius in zip(queries.query_id, queries["query"], queries.radius, strict=True):
             d = distances(np.asarray(q, np.float64), x)
-            d[ids == query_id] = np.inf
+            d[(ids == query_id) | (d > radius)] = np.inf
             own = min(k, int(np.isfinite(d).sum()))
             if not own:
                 continue
@@ -226,7 +229,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, how: Index = Index(
     shared = spark.sparkContext.broadcast(tree)
     leaf = F.arrow_udf(lambda e: pa.array(shared.value.assign(_matrix(e))) if len(e) else pa.array([], pa.int64()), T.LongType()).asNondeterministic()
     indexed = durable(rows.withColumn("leaf", leaf("embedding")), "vectors-leaves")
-    schema = T.StructType([T.StructField("query_id", rows.schema["vec_id"].dataType), T.StructField("query", rows.schema["embedding"].dataType), T.StructField("leaf", T.LongType())])
+    schema = T.StructType([T.StructField("query_id", rows.schema["vec_id"].dataType), T.StructField("query", rows.schema["embedding"].dataType), T.StructField("leaf", T.LongType()), T.StructField("visit", T.IntegerType())])
     asked = durable(rows.where(queries).dropDuplicates(["vec_id"]).mapInArrow(lambda batches: _probes(batches, shared.value, visits), schema), "vectors-probes")
 
     def parts(df: DataFrame, name: str, most: int) -> DataFrame:
@@ -239,7 +242,17 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, how: Index = Index(
     asked = asked.join(split, F.col("leaf") == F.col("l")).withColumns({"part": every("parts"), "block": some("query_id", "blocks")})
     dealt = indexed.join(split, F.col("leaf") == F.col("l")).withColumns({"part": some("vec_id", "parts"), "block": every("blocks")})
     by = ["leaf", "part", "block"]
-    met = asked.select("query_id", "query", *by).groupBy(*by).cogroup(dealt.select("vec_id", "embedding", *by).groupBy(*by))
-    found = met.applyInPandas(_meet(k), T.StructType([f for f in result if f.name != "rank"]))
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    plain = T.StructType([f for f in result if f.name != "rank"])
+
+    def met(probes: DataFrame) -> DataFrame:
+        return probes.select("query_id", "query", "radius", *by).groupBy(*by).cogroup(dealt.select("vec_id", "embedding", *by).groupBy(*by)).applyInPandas(_meet(k), plain)
+
+    def best(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    everything = F.lit(float("inf"))
+    near = durable(best(met(asked.where(F.col("visit") < how.first).withColumn("radius", everything))).drop("rank"), "vectors-near")
+    radius = near.groupBy(F.col("query_id").alias("q")).agg(F.when(F.count("*") >= k, F.max("score")).otherwise(everything).alias("radius"))
+    rest = asked.where(F.col("visit") >= how.first).join(radius, F.col("query_id") == F.col("q"), "left").withColumn("radius", F.coalesce("radius", everything))
+    return best(near.unionByName(met(rest))).select("query_id", "rank", "vec_id", "score")
