@@ -170,6 +170,59 @@ def triangle_summary(pairs: DataFrame, key: Key, value: str = "distance") -> Dat
     return pairs.where("i < j").groupBy(*key).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.max(value).alias("max"), F.count("*").alias("pairs"))
 
 
+#: Histogram of cosines in cosine_summary: bins over [-1, 1].
+BINS = 1 << 12
+
+
+def _cosines(a: np.ndarray, b: np.ndarray, same: bool, eps: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines of the rows of a with those of b (of a block with itself, only i < j), 0 where a row is near zero, and their bins."""
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.where(norm > eps, x / np.where(norm > eps, norm, 1.0), 0.0)
+
+    s = np.clip(scaled(a) @ scaled(b).T, -1.0, 1.0)
+    s = s[np.triu_indices(len(a), 1)] if same else s.ravel()
+    return s, np.minimum(((s + 1.0) * (BINS / 2)).astype(np.int64), BINS - 1)
+
+
+def cosine_summary(features: DataFrame, key: Key, block: int = 512) -> DataFrame:
+    """triangle_summary of the cosines of all pairs of a series' frames, without pairs as rows.
+
+    Blocks of frames meet in pairs; the median is exact: a histogram finds the bins that hold the middle values, and only
+    the values of these bins become rows.
+    """
+    rows = features.withColumn("_b", F.floor(F.col("frame_idx") / block)).groupBy(*key, "_b").agg(F.collect_list("features").alias("_x"))
+    left, right = rows.withColumnsRenamed({"_b": "_p", "_x": "_a"}), rows.withColumnsRenamed({"_b": "_q", "_x": "_c"})
+    both = left.join(right, list(key)).where("_p <= _q").repartition(*key, "_p", "_q")
+
+    def blocks(a: pd.Series, c: pd.Series, same: pd.Series):
+        return (_cosines(np.stack(x), np.stack(y), s) for x, y, s in zip(a, c, same, strict=True))
+
+    @F.pandas_udf("n array<long>, total double, top double")
+    def measured(a: pd.Series, c: pd.Series, same: pd.Series) -> pd.DataFrame:
+        found = [(np.bincount(b, minlength=BINS), s.sum(), s.max() if len(s) else None) for s, b in blocks(a, c, same)]
+        return pd.DataFrame(found, columns=["n", "total", "top"])
+
+    @F.pandas_udf("array<double>")
+    def inside(a: pd.Series, c: pd.Series, same: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
+        return pd.Series([s[(b == x) | (b == y)] for (s, b), x, y in zip(blocks(a, c, same), low, high, strict=True)])
+
+    each = both.select(*key, measured("_a", "_c", F.col("_p") == F.col("_q")).alias("_m"))
+    totals = each.groupBy(*key).agg(F.sum("_m.total").alias("_total"), F.max("_m.top").alias("max"))
+    w = Window.partitionBy(*key).orderBy("_bin")
+    bins = each.select(*key, F.posexplode("_m.n").alias("_bin", "_k")).where("_k > 0").groupBy(*key, "_bin").agg(F.sum("_k").alias("_k"))
+    bins = bins.withColumns({"_to": F.sum("_k").over(w), "pairs": F.sum("_k").over(Window.partitionBy(*key))})
+    middle = [F.floor((F.col("pairs") + k) / 2) for k in (1, 2)]  # ranks from 1
+    found = [F.min(F.when(F.col("_to") >= m, F.struct("_bin", (F.col("_to") - F.col("_k")).alias("before")))) for m in middle]
+    at = bins.groupBy(*key).agg(F.first("pairs").alias("pairs"), found[0].alias("_low"), found[1].alias("_high"))
+    values = both.join(F.broadcast(at), list(key)).select(*key, F.explode(inside("_a", "_c", F.col("_p") == F.col("_q"), "_low._bin", "_high._bin")).alias("_v"))
+    ranked = values.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("_v"))).join(F.broadcast(at), list(key))
+    ranked = ranked.where((F.col("_r") + F.col("_low.before")).isin(*middle))  # no pair lies between the two bins
+    median = ranked.groupBy(*key).agg(F.avg("_v").alias("median"))
+    return totals.join(at, list(key)).join(median, list(key)).select(*key, (F.col("_total") / F.col("pairs")).alias("mean"), "median", "max", "pairs")
+
+
 def template_alignment(features: DataFrame, key: Key, *, anchor: int, period: int, length: int, radius: int, min_separation: float = 0.5) -> DataFrame:
     """Where near each place of the grid anchor + k * period the template (length frames from anchor) fits best.
 

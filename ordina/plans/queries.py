@@ -459,8 +459,10 @@ FEATURES_SQL = """
 """
 
 
-def _features(t, low: int = 1, n: int = 6):
-    return t("vectors").where("frame_idx < 40").select("track", "frame_idx", F.slice("embedding", low, n).cast("array<double>").alias("features"))
+def _features(t, low: int = 1, n: int | None = None):
+    """Every frame of every track, with n components from low (all the rest if None)."""
+    n = F.size("embedding") if n is None else F.lit(n)
+    return t("vectors").select("track", "frame_idx", F.slice("embedding", F.lit(low), n).cast("array<double>").alias("features"))
 
 
 @add("agg12_zscore", "track frame_idx first:d", FEATURES_SQL + "SELECT track, frame_idx, x[1] AS first FROM z")
@@ -480,8 +482,8 @@ def _(t, spark, sf):
  p2 AS (SELECT a.track, CAST(b.frame_idx - a.frame_idx AS INT) AS lag_frames, avg(list_cosine_similarity(a.x, b.x)) AS similarity FROM z2 a JOIN z2 b ON a.track = b.track AND b.frame_idx > a.frame_idx AND b.frame_idx - a.frame_idx <= 12 GROUP BY ALL)
  SELECT track, lag_frames, (p1.similarity * 2 + p2.similarity) / 3 AS combined_similarity, support FROM p1 JOIN p2 USING (track, lag_frames)""")
 def _(t, spark, sf):
-    a = structure.lag_profile(_features(t), KEY, 1, 12).withColumn("view", F.lit("mfcc"))
-    b = structure.lag_profile(_features(t, 7, 4), KEY, 1, 12).withColumn("view", F.lit("chroma"))
+    a = structure.lag_profile(_features(t, 1, 6), KEY, 1, 12).withColumn("view", F.lit("mfcc"))
+    b = structure.lag_profile(_features(t, 7), KEY, 1, 12).withColumn("view", F.lit("chroma"))
     return structure.combine_views(a.unionByName(b), KEY, {"mfcc": 2.0, "chroma": 1.0})
 
 
@@ -725,9 +727,7 @@ def _(t, spark, sf):
  WITH f AS (SELECT track, frame_idx, list_transform(embedding[1:6], lambda x: x::DOUBLE) AS x FROM {vectors} WHERE least(frame_idx, 12) < 12)
  SELECT track, avg(s) AS mean, median(s) AS median, max(s) AS max, count(*) AS pairs FROM (SELECT a.track, list_cosine_similarity(a.x, b.x) AS s FROM f a JOIN f b ON a.track = b.track AND a.frame_idx < b.frame_idx) GROUP BY track""")
 def _(t, spark, sf):
-    f = _features(t).where("frame_idx < 12").select("track", F.col("frame_idx").alias("cycle"), "features")
-    pairs = structure.cycle_pairs(f, KEY, "features").withColumn("distance", scalar.cosine(F.col("a"), F.col("b")))
-    return structure.triangle_summary(pairs, KEY)
+    return structure.cosine_summary(_features(t), KEY)
 
 
 @add("agg29_block_similarity", "track i similarity:d", """
