@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from ordina.operators import structure
+from ordina.operators import alignment, structure
 from ordina.plans import queries
 
 
@@ -70,3 +70,12 @@ def test_all_pairs(spark, vectors, block):
         s = cosines(x[r.track])[np.triu_indices(len(x[r.track]), 1)]
         assert r.pairs == len(s) and np.allclose([r["mean"], r["median"], r["max"]], [s.mean(), np.median(s), s.max()], atol=1e-4)
     assert len(got) == 2
+
+
+def test_whole_turns(spark, tmp_path):
+    long = "a word of a turn that goes on for more than forty characters "
+    turns = [long + "and ends so", long + "but ends otherwise", "déjà vu\nà la carte", "deja vu\n\U0001f600 la carte", "", None]
+    spark.createDataFrame([(1, k, "user", x) for k, x in enumerate(turns)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.turn: (r.errors, r.reference_units) for r in rows_of(spark, str(tmp_path), "dp01_edit_errors")}
+    brute = lambda a, b: sum(op != "=" for op, _, _ in alignment.aligned(list(a), list(b)))
+    assert got == {k: (brute(a, b), len(a)) for k, (a, b) in enumerate(zip(turns[:4], turns[1:5], strict=True))}
