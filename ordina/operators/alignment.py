@@ -66,12 +66,15 @@ def mora_alignment(ref: Column, hyp: Column) -> Column:
 
 
 def mora_matrix(cycles: DataFrame, key: Key, value: str = "morae") -> DataFrame:
-    """Errors over the longer length (1 at least) of every pair i < j of a series' cycles."""
+    """Errors over the longer length (1 at least) of every pair i < j of a series' cycles; each pair of distinct values is aligned once."""
     from ordina.operators.structure import cycle_pairs
 
-    pairs = cycle_pairs(cycles, key, value).withColumn("_a", edit_alignment("a", "b"))
+    pairs = cycle_pairs(cycles, key, value)
+    values = cycles.select(*key, F.col(value).alias("_x")).distinct()
+    kinds = values.join(values.withColumnRenamed("_x", "_y"), list(key)).select("_x", "_y").distinct().withColumn("_a", edit_alignment("_x", "_y"))
     errors = F.size(F.filter("_a", lambda r: r["op"] != "="))
-    return pairs.select(*key, "i", "j", (errors / F.greatest(F.size("a"), F.size("b"), F.lit(1))).alias("distance"))
+    kinds = kinds.select("_x", "_y", (errors / F.greatest(F.size("_x"), F.size("_y"), F.lit(1))).alias("distance"))
+    return pairs.join(kinds, F.col("a").eqNullSafe(F.col("_x")) & F.col("b").eqNullSafe(F.col("_y"))).select(*key, "i", "j", "distance")
 
 
 def partitioned(surface: list[str], kana: list[str], cycles: int, canonical: int, deviation: int) -> list[list[str]]:

@@ -835,8 +835,8 @@ def _(t, spark, sf):
 
 @add("jn10_mora_distances", "track i j distance:d")
 def _(t, spark, sf):
-    units = F.array(*[F.substring("label", k, 1) for k in range(1, 6)])
-    return alignment.mora_matrix(t("spans").where("frame_idx < 6").select("track", F.col("frame_idx").alias("cycle"), units.alias("morae")), KEY)
+    units = text.characters(F.array("label"))
+    return alignment.mora_matrix(t("spans").select("track", F.col("frame_idx").alias("cycle"), units.alias("morae")), KEY)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import numpy as np
 import pytest
 
@@ -79,3 +81,23 @@ def test_whole_turns(spark, tmp_path):
     got = {r.turn: (r.errors, r.reference_units) for r in rows_of(spark, str(tmp_path), "dp01_edit_errors")}
     brute = lambda a, b: sum(op != "=" for op, _, _ in alignment.aligned(list(a), list(b)))
     assert got == {k: (brute(a, b), len(a)) for k, (a, b) in enumerate(zip(turns[:4], turns[1:5], strict=True))}
+
+
+@pytest.fixture(scope="module")
+def events(spark, tmp_path_factory):
+    """40 events of user 1 and 120 of user 2."""
+    rows = [(1000 * u + i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), u, LABELS[(u + i) % 5], float(i), f'{{"k": {(3 * i + u) % 10}}}') for u, n in ((1, 40), (2, 120)) for i in range(n)]
+    path = str(tmp_path_factory.mktemp("events"))
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{path}/events.parquet")
+    return path
+
+
+LABELS = ["view", "click", "error", "errorless", "errors"]
+
+
+def test_all_spans(spark, events):
+    got = {(r.track, r.i, r.j): r.distance for r in rows_of(spark, events, "jn10_mora_distances")}
+    assert len(got) == 40 * 39 // 2 + 120 * 119 // 2
+    for (u, i, j), distance in got.items():
+        a, b = LABELS[(u + i) % 5], LABELS[(u + j) % 5]
+        assert np.isclose(distance, sum(op != "=" for op, _, _ in alignment.aligned(list(a), list(b))) / max(len(a), len(b)), atol=1e-4)
