@@ -342,12 +342,19 @@ CLUSTER_SQL = """
 """
 
 
+def _whole(t):
+    """Marks with the end of their track, that of its last frame (a mark lies within 0.31 s of its frame's start), and the key with it."""
+    n = t("ticks").groupBy("track").agg((F.count("*") * 0.31).alias("duration_s"))
+    return t("marks").join(n, KEY), [*KEY, "duration_s"], F.col("duration_s")
+
+
 @add("clu01_consensus_boundaries", "track t:d mix:d stem:d repetition:d section:d confidence:d", CLUSTER_SQL.replace("{tolerance}", "0.4") + """,
  a AS (SELECT track, g, sum(t * greatest(0.1, confidence)) / sum(greatest(0.1, confidence)) AS t, coalesce(max(confidence) FILTER (kind = 'mix'), 0) AS mix, coalesce(max(confidence) FILTER (kind = 'stem'), 0) AS stem,
   coalesce(max(confidence) FILTER (kind = 'repetition'), 0) AS repetition, coalesce(max(confidence) FILTER (kind = 'section'), 0) AS section, count(DISTINCT kind) AS n FROM c GROUP BY ALL)
  SELECT track, t, mix, stem, repetition, section, greatest(0.18, least(1, (mix + stem + repetition + section) / n * (0.58 + 0.14 * (n - 1)) + 0.08 * (n - 1))) AS confidence FROM a WHERE t >= 3 AND t <= 20""")
 def _(t, spark, sf):
-    return boundaries.consensus_boundaries(t("marks"), KEY, F.lit(23.0), 0.4)
+    marks, key, end = _whole(t)
+    return boundaries.consensus_boundaries(marks, key, end, 0.4)
 
 
 @add("clu02_repetition_boundaries", "track t:d confidence:d", CLUSTER_SQL.replace("{tolerance}", "0.35") + "SELECT track, sum(t * greatest(0.05, confidence)) / sum(greatest(0.05, confidence)) AS t, max(confidence) AS confidence FROM c GROUP BY track, g")
@@ -359,8 +366,8 @@ def _(t, spark, sf):
  WITH r AS (SELECT track, t FROM {marks} WHERE track % 2 = 0 AND t > 0 AND t < 9),
  a AS (SELECT track, t, row_number() OVER (PARTITION BY track ORDER BY confidence DESC, t) AS k FROM {marks} WHERE track NOT IN (SELECT track FROM r)) SELECT track, t FROM r UNION ALL SELECT track, t FROM a WHERE k <= 2""")
 def _(t, spark, sf):
-    marks = t("marks")
-    return boundaries.reviewed_or_automatic(marks.where("track % 2 = 0"), marks.withColumn("score", F.col("confidence")), KEY, F.lit(9.0))
+    marks, key, end = _whole(t)
+    return boundaries.reviewed_or_automatic(marks.where("track % 2 = 0"), marks.withColumn("score", F.col("confidence")), key, end)
 
 
 @add("prj06_sections", "track start_s:d end_s:d label", """
@@ -368,7 +375,7 @@ def _(t, spark, sf):
  s AS (SELECT track, t AS start_s, coalesce(lead(t) OVER w, 30) AS end_s, row_number() OVER w AS k, count(*) OVER (PARTITION BY track) AS n FROM z WINDOW w AS (PARTITION BY track ORDER BY t))
  SELECT track, start_s, end_s, CASE WHEN k = 1 AND end_s - start_s < 24 THEN 'Opening' WHEN k = n AND end_s - start_s < 28 THEN 'Ending' ELSE 'Section ' || k END AS label FROM s""")
 def _(t, spark, sf):
-    return boundaries.sections(t("marks").where("frame_idx % 6 = 0"), KEY, F.lit(30.0))
+    return boundaries.sections(*_whole(t))
 
 
 @add("jn04_overlaps", "track frame_idx other shared:d", """

@@ -101,3 +101,17 @@ def test_all_spans(spark, events):
     for (u, i, j), distance in got.items():
         a, b = LABELS[(u + i) % 5], LABELS[(u + j) % 5]
         assert np.isclose(distance, sum(op != "=" for op, _, _ in alignment.aligned(list(a), list(b))) / max(len(a), len(b)), atol=1e-4)
+
+
+def test_whole_tracks(spark, events):
+    """User 2 has 120 events: 37.2 s."""
+    t = {u: [i * 0.31 + ((3 * i + u) % 10 % 7) / 100 for i in range(n) if (3 * i + u) % 10 % 5 < 3] for u, n in ((1, 40), (2, 120))}
+    got = {u: sorted(r.t for r in rows_of(spark, events, "prj05_reviewed_boundaries") if r.track == u) for u in t}
+    assert np.allclose(got[2], [x for x in t[2] if x > 0], atol=1e-4) and len(got[1]) == 2
+    rows = rows_of(spark, events, "prj06_sections")
+    for u, end in ((1, 12.4), (2, 37.2)):
+        found = sorted((r.start_s, r.end_s) for r in rows if r.track == u)
+        assert np.allclose([a for a, _ in found], sorted({0.0, *t[u]}), atol=1e-4) and np.isclose(found[-1][1], end)
+    found = [r.t for r in rows_of(spark, events, "clu01_consensus_boundaries") if r.track == 2]
+    last = t[2][-1]
+    assert last > 34.2 and 33 < max(found) <= 34.2
