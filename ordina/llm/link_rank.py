@@ -7,7 +7,7 @@ distrust against them, over edges between different hosts. A host is blocked whe
 distrust less its trust exceeds a share of its pages; its pages without a rule follow it.
 
 Edges are links (href, src) of the pages to other hosts, counted by host pair; relative
-links stay on the page's own host and carry nothing. Counting is by partial sums and the verdicts return by a checked broadcast or a salted join, so a host
+links stay on the page's own host and carry nothing. Rounds go on until what is left to come is negligible. Counting is by partial sums and the verdicts return by a checked broadcast or a salted join, so a host
 with a third of all pages is no hot spot.
 
 Defined cases: a null url or one without `://` has empty host and path, no rule fits, and it is
@@ -48,12 +48,17 @@ RULES = (Rule("com", "en/", "block"), Rule("example.com", "en/7", "allow"), Rule
 
 @dataclass(frozen=True)
 class Spread:
-    """damping and rounds of the propagation; threshold: the share of a host's pages that distrust less trust must exceed; cut: rounds between written tables."""
+    """damping of the propagation; threshold: the share of a host's pages that distrust less trust must exceed; cut: rounds between written tables.
+
+    tolerance: rounds go on until all that is still to come, over all hosts together, is no more than this part of the threshold of one page.
+    rounds: those that judge_sql unrolls; host_scores has no limit.
+    """
 
     damping: float = 0.85
     rounds: int = 8
     threshold: float = 0.5
     cut: int = 4
+    tolerance: float = 1e-6
 
 
 def _lower(c: Column) -> Column:
@@ -92,17 +97,22 @@ def host_scores(pages: DataFrame, how: Spread = Spread()) -> DataFrame:
     total = both.groupBy(F.col("kind").alias("k"), F.col("a").alias("h")).agg(F.sum("links").alias("total"))
     step = both.join(total, (F.col("kind") == F.col("k")) & (F.col("a") == F.col("h"))).select("kind", "a", "b", (F.col("links") / F.col("total")).alias("share"))
     seed = hosts.select(F.lit(0).alias("kind"), "host", F.col("allow").alias("seed")).union(hosts.select(F.lit(1), "host", "block"))
-    step = durable(step, "links-steps")
-    mass, old = durable(seed.withColumn("mass", F.col("seed")), "links-mass"), None
-    for k in range(1, how.rounds + 1):
-        come = mass.select(F.col("kind").alias("k"), F.col("host").alias("h"), "mass").join(step, (F.col("k") == F.col("kind")) & (F.col("h") == F.col("a")))
-        come = come.groupBy(F.col("kind").alias("k"), F.col("b").alias("h")).agg(F.sum(F.col("mass") * F.col("share")).alias("come"))
-        mass = mass.join(come, (F.col("kind") == F.col("k")) & (F.col("host") == F.col("h")), "left").select("kind", "host", "seed", (F.col("seed") + how.damping * F.coalesce("come", F.lit(0.0))).alias("mass"))
-        if k % how.cut == 0 or k == how.rounds:
-            done = durable(mass, "links-mass")
-            if old is not None:
-                forget(spark, old)
-            mass = old = done
+    own = seed.select("kind", F.col("host").alias("a"), F.col("host").alias("b"), F.lit(None).cast("double").alias("share"))
+    step = durable(step.unionByName(own), "links-steps")  # a step of a host to itself, without share, keeps what it has
+    # what a round brings shrinks by damping at least, so all later ones together bring no more than damping / (1 - damping) times that
+    if not 0 <= how.damping < 1:
+        raise ValueError("damping is 0 or more and below 1")
+    least, more = how.tolerance * how.threshold, how.damping / (1 - how.damping)
+    mass = old = durable(seed.select("kind", "host", F.col("seed").alias("mass"), F.col("seed").alias("new")), "links-mass")
+    while (mass.agg(F.sum("new")).first()[0] or 0.0) * more > least:
+        for _ in range(how.cut):
+            on = mass.select(F.col("kind").alias("k"), F.col("host").alias("h"), "mass", "new").join(step, (F.col("k") == F.col("kind")) & (F.col("h") == F.col("a")))
+            come = F.coalesce(how.damping * F.col("new") * F.col("share"), F.lit(0.0))
+            on = on.select("kind", F.col("b").alias("host"), F.when(F.col("share").isNull(), F.col("mass")).otherwise(come).alias("mass"), come.alias("new"))
+            mass = on.groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("new").alias("new"))
+        mass = durable(mass, "links-mass")
+        forget(spark, old)
+        old = mass
     both = mass.groupBy("host").agg(F.sum(F.when(F.col("kind") == 0, F.col("mass"))).alias("trust"), F.sum(F.when(F.col("kind") == 1, F.col("mass"))).alias("distrust"))
     out = both.join(hosts.select(F.col("host").alias("h"), "pages"), F.col("host") == F.col("h")).drop("h")
     return out.withColumn("host_blocked", F.col("distrust") - F.col("trust") > how.threshold * F.col("pages"))
