@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import re
 import shutil
 import tempfile
@@ -80,12 +79,6 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables of durable() that nothing will read again."""
     jvm = spark.sparkContext._jvm

@@ -13,17 +13,25 @@ A byte is removed if it lies in a string of `length` bytes that also starts anyw
    repeated string. If all phrases with a core have one context, every string of them is
    repeated; so it is for contexts that occur twice or more.
 3. Dictionary. The other phrases with a common core, one for each distinct context, are the
-   dictionary. Only its strings are ordered one by one.
-4. Both give the repeated strings; their union is cut out.
-
-The order of a class of suffixes that agree in `length` bytes doesn't matter here, so
-classes are named by 128-bit hashes of what they agree in instead of by lexicographic rank:
-two neighbours in suffix order have a common prefix of `length` or more if and only if they
-have the same name. Groups are joined by name and counted with partial sums, so a passage in
-a third of all texts is no hot spot.
-
-Defined cases: null counts as empty. Texts shorter than `length` stay whole. Copies and
-repeated rows all lose what they share. Rows stay, even with nothing left. Null ids stay null.
+   dictionary. Equal strings have equal cores, so it is ordered core by core: the contexts of
+   some cores are joined to one text, whose suffix array is built by prefix doubling (8, 16, ...
+   128 bytes, at last two overlapping ranks of 128 for `length`). Neighbours in it with a common
+   prefix of `length` or more are repeated strings.
+4. Both combine into corpus order: a place in the dictionary's order stands for all places
+   where the parse has that phrase. The repeated strings' union is cut out.
+
+Suffixes are ordered as far as `length` bytes, which is all that matters here. A context holds
+every string of its phrase whole, so no comparison goes on into the next phrase and the parse
+is ordered by its phrases' names (128-bit hashes), not by what follows them.
+
+A core with more than `MOST` distinct contexts (the edge of a passage that a third of the texts
+share) is too much for one task; its strings are counted one by one by 128-bit hashes, with
+partial sums, to the same result.
+
+Defined cases: null counts as empty. Texts shorter than `length` stay whole. Very long texts are
+parsed whole. Copies and repeated rows all lose what they share. Rows stay, even with nothing
+left. Null ids stay null. An empty table gives an empty result. Columns other than id and text
+are never read by name, so no name clashes.
 """
 
 from __future__ import annotations
@@ -36,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordina.llm._store import durable, flat, forget, pick, release
+from ordina.llm._store import durable, flag, flat, forget, pick
 from ordina.llm._text import BASE, BYTE_VALUES, Bytes, buffers, mix, parts, runs
 
 LENGTH = 200
@@ -44,7 +52,11 @@ LENGTH = 200
 TRIGGER, REACH = 12, 96
 #: Kinds of spans of string starts: repeated for certain; in the dictionary, as a partner only or to be decided.
 CERTAIN, PARTNER, OPEN = 0, 1, 2
-SPAN = "struct<lo: int, n: int, kind: int>"
+SPAN = "struct<lo: int, n: int, kind: int, core: bigint>"
+#: Contexts of a core that are ordered in one task, and bytes of contexts ordered at once.
+MOST, TOGETHER = 20_000, 2 << 20
+#: An entry of the dictionary: the text it is taken from, where it begins, its context, and whether its strings are to be decided.
+ENTRY = "core long, g long, lo int, open boolean, context binary"
 PASSAGE = "array<struct<start: bigint, length: bigint>>"
 
 
@@ -128,20 +140,97 @@ def _settled(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(settled, pa.bool_())], names=[*batch.schema.names, "settled"])
 
 
-def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(g, text, spans) to one row per string of the dictionary: two hashes, g, its start, and whether it is to be decided."""
+def _entries(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(g, text, spans) to one row per entry of the dictionary."""
+    names = [f.split()[0] for f in ENTRY.split(", ")]
     for batch in batches:
         spans = batch.column("spans")
         for text in parts(batch.column("text")):
             own = spans.slice(text.first, len(text))
             lo, n, kind = (own.flatten().field(k).to_numpy().astype(np.int64) for k in range(3))
+            core = own.flatten().field(3)
             row = np.repeat(np.arange(len(text)), own.value_lengths().to_numpy())
-            some = kind > CERTAIN
-            lo, n, kind, row = lo[some], n[some], kind[some], row[some]
-            at, row, kind = runs(lo, n), np.repeat(row, n), np.repeat(kind, n)
-            place = at + text.off[row]
-            g = batch.column("g").to_numpy()[text.first + row]
-            yield pa.RecordBatch.from_arrays([pa.array(text.hashes(place, place + length).view(np.int64)), pa.array(text.hashes(place, place + length, 1).view(np.int64)), pa.array(g), pa.array(at.astype(np.int32)), pa.array(kind == OPEN)], names=["h1", "h2", "g", "at", "open"])
+            some = np.flatnonzero(kind > CERTAIN)
+            lo, n, kind, row, core = lo[some], n[some], kind[some], row[some], core.take(pa.array(some))
+            size = n - 1 + length
+            context = text.buf[runs(lo + text.off[row], size)]
+            off = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([core, pa.array(batch.column("g").to_numpy()[text.first + row]), pa.array(lo.astype(np.int32)), pa.array(kind == OPEN), pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(context.tobytes())])], names=names)
+
+
+def ranks(key: np.ndarray) -> np.ndarray:
+    """The rank of each value among the distinct ones."""
+    order = np.argsort(key)
+    step = np.zeros(len(key), np.uint64)
+    step[1:] = key[order[1:]] != key[order[:-1]]
+    out = np.empty(len(key), np.uint64)
+    out[order] = np.cumsum(step)
+    return out
+
+
+def suffix_order(buf: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The starts in the order of the suffixes there as far as length bytes, and whether each has `length` bytes in common with the one before.
+
+    length is 8 or more; from each start on there are as many bytes.
+    """
+    size = len(buf)
+    padded = np.concatenate([buf, np.zeros(length + 8, np.uint8)])
+    key = np.zeros(size, np.uint64)
+    for k in range(8):
+        key = (key << np.uint64(8)) | padded[k : size + k]
+    rank, width = ranks(key), 8
+    shift = np.uint64(32)
+
+    def after(k: int) -> np.ndarray:
+        return np.concatenate([rank[k:], np.zeros(min(k, size), np.uint64)])
+
+    while 2 * width <= length:
+        rank, width = ranks((rank << shift) | after(width)), 2 * width
+    both = (rank[starts] << shift) | rank[starts + length - width]
+    order = np.argsort(both, kind="stable")
+    same = np.zeros(len(starts), bool)
+    same[1:] = both[order[1:]] == both[order[:-1]]
+    return order, same
+
+
+def _repeated(rows: pa.Table, length: int) -> pa.RecordBatch:
+    """Starts (g, at) of strings to be decided that occur again in the contexts of whole cores."""
+    buf, off = buffers(rows.column("context"))
+    buf, off = buf[off[0] : off[-1]], off - off[0]
+    n = np.diff(off) - length + 1
+    starts, row = runs(off[:-1], n), np.repeat(np.arange(len(n)), n)
+    order, same = suffix_order(buf, starts, length)
+    again = np.zeros(len(starts), bool)
+    again[order] = same | np.append(same[1:], False)
+    again &= rows.column("open").to_numpy()[row]
+    row, at = row[again], starts[again]
+    return pa.RecordBatch.from_arrays([pa.array(rows.column("g").to_numpy()[row]), pa.array((rows.column("lo").to_numpy()[row] + at - off[row]).astype(np.int32))], names=["g", "at"])
+
+
+def _ordered(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Entries sorted by core to repeated starts; some whole cores at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        core = batch.column("core").to_numpy()
+        last = int(np.searchsorted(core, core[-1]))  # the last core may go on in the next batch
+        if sum(b.nbytes for b in held) > TOGETHER and (last or len(held) > 1 and held[-2].column("core")[-1].as_py() != core[0]):
+            yield _repeated(pa.Table.from_batches([*held[:-1], batch.slice(0, last)]), length)
+            held = [batch.slice(last)]
+    if held:
+        yield _repeated(pa.Table.from_batches(held), length)
+
+
+def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Entries to one row per string: two hashes, the text it is from, its start, and whether it is to be decided."""
+    for batch in batches:
+        for text in parts(batch.column("context")):
+            n = np.diff(text.off) - length + 1
+            place, row = runs(text.off[:-1], n), np.repeat(np.arange(len(n)), n) + text.first
+            at = batch.column("lo").to_numpy()[row] + place - text.off[row - text.first]
+            yield pa.RecordBatch.from_arrays([pa.array(text.hashes(place, place + length).view(np.int64)), pa.array(text.hashes(place, place + length, 1).view(np.int64)), batch.column("g").take(pa.array(row)), pa.array(at.astype(np.int32)), batch.column("open").take(pa.array(row))], names=["h1", "h2", "g", "at", "open"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -187,41 +276,40 @@ def repeats(docs: DataFrame, length: int = LENGTH, id: str = "doc_id", text: str
     phrase = parsed.select("uid", F.explode("phrases").alias("p")).select("uid", "p.*")
     cores = phrase.groupBy("core").agg(F.count("*").alias("c"), F.min("whole").alias("least"), F.max("whole").alias("most")).where("c > 1")
     cores = durable(cores.select("core", (F.col("least") == F.col("most")).alias("same")), "repeats-cores")
-    release(spark)
     shared = phrase.join(cores, "core").select("uid", "lo", "n", *[F.when(~F.col("same"), F.col(c)).alias(c) for c in ("core", "whole")])
     shared = durable(shared, "repeats-shared")
     forget(spark, cores, parsed)
-    release(spark)
     mixed = shared.where("core is not null")
     entries = durable(mixed.groupBy("core", "whole").agg(F.count("*").alias("c"), F.min(F.struct("uid", "lo", "n")).alias("first")), "repeats-dictionary")
+    many = durable(entries.groupBy("core").agg(F.count("*").alias("c")).where(F.col("c") > MOST).select("core"), "repeats-many")
     twice = mixed.join(entries.where("c > 1").select("core", "whole"), ["core", "whole"])
-    spans = shared.where("core is null").select("uid", "lo", "n", F.lit(CERTAIN).alias("kind"))
-    spans = spans.union(twice.select("uid", "lo", "n", F.lit(CERTAIN)))
-    spans = spans.union(entries.select("first.uid", "first.lo", "first.n", F.when(F.col("c") == 1, OPEN).otherwise(PARTNER)))
-    spans = spans.groupBy("uid").agg(F.collect_list(F.struct("lo", "n", "kind")).alias("spans"))  # as many as one text has phrases
+    nothing = F.lit(None).cast("long")
+    spans = shared.where("core is null").select("uid", "lo", "n", F.lit(CERTAIN).alias("kind"), nothing.alias("core"))
+    spans = spans.union(twice.select("uid", "lo", "n", F.lit(CERTAIN), nothing))
+    spans = spans.union(entries.select("first.uid", "first.lo", "first.n", F.when(F.col("c") == 1, OPEN).otherwise(PARTNER), "core"))
+    spans = spans.groupBy("uid").agg(F.collect_list(F.struct("lo", "n", "kind", "core")).alias("spans"))  # as many as one text has phrases
     spans = spans.join(digests.select("uid", "t1", "t2", "n_bytes"), "uid")
     # copies have the same spans; the dictionary took its entries from the first of them
     spans = spans.groupBy("t1", "t2").agg(F.min_by(F.struct("n_bytes", "spans"), "uid").alias("s")).select("t1", "t2", "s.*")
     spans = durable(spans.mapInArrow(lambda b: _settled(b, length), f"t1 long, t2 long, n_bytes long, spans array<{SPAN}>, settled boolean"), "repeats-spans")
     forget(spark, shared, entries)
-    release(spark)
     open_ = spans.where("not settled").select("t1", "t2", "spans")
     # copies meet in each task before the shuffle
     texts = rows.groupBy("t1", "t2").agg(F.first("text").alias("text")).join(open_, ["t1", "t2"])
     texts = durable(texts.withColumn("g", F.monotonically_increasing_id()), "repeats-texts")
-    release(spark)
-    strings = texts.where(F.exists("spans", lambda s: s["kind"] > CERTAIN)).select("g", "text", "spans").mapInArrow(lambda b: _strings(b, length), "h1 long, h2 long, g long, at int, open boolean")
-    again = durable(strings.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2"), "repeats-strings")
-    release(spark)
-    starts = strings.where("open").join(again, ["h1", "h2"]).groupBy("g").agg(F.collect_list("at").alias("starts"))
-    starts = durable(starts, "repeats-starts")
-    release(spark)
+    found = texts.where(F.exists("spans", lambda s: s["kind"] > CERTAIN)).select("g", "text", "spans").mapInArrow(lambda b: _entries(b, length), ENTRY)
+    found = flag(found, F.col("core"), many, "hot")
+    starts = found.where("not hot").drop("hot").repartition("core").sortWithinPartitions("core").mapInArrow(lambda b: _ordered(b, length), "g long, at int")
+    if not many.isEmpty():
+        strings = found.where("hot").drop("hot").mapInArrow(lambda b: _strings(b, length), "h1 long, h2 long, g long, at int, open boolean")
+        again = durable(strings.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2"), "repeats-strings")
+        starts = starts.union(strings.where("open").join(again, ["h1", "h2"]).select("g", "at"))
+    starts = durable(starts.groupBy("g").agg(F.collect_list("at").alias("starts")), "repeats-starts")  # as many as one text has
     cut = texts.join(starts, "g", "left").select("t1", "t2", "text", "spans", "starts").mapInArrow(lambda b: _cut(b, length), f"t1 long, t2 long, passages {PASSAGE}, kept_sha256 string")
-    nothing = hashlib.sha256().hexdigest()
-    gone = spans.where("settled").select("t1", "t2", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("length"))).alias("passages"), F.lit(nothing).alias("kept_sha256"))
+    empty = hashlib.sha256().hexdigest()
+    gone = spans.where("settled").select("t1", "t2", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("length"))).alias("passages"), F.lit(empty).alias("kept_sha256"))
     found = durable(cut.union(gone).where(F.size("passages") > 0), "repeats-found")
-    forget(spark, texts, starts, again, spans)
-    release(spark)
+    forget(spark, texts, starts, spans, many)
     return digests.select("doc_id", "t1", "t2", "n_bytes", "sha256"), found
 
 

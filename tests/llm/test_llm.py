@@ -154,6 +154,39 @@ def test_suffix_dedup_against_brute_force(spark, odd, none):
     assert suffix_dedup.report(none).count() == 0 and suffix_dedup.strip(none).count() == 0
 
 
+def test_suffix_dedup_of_cores_with_many_contexts(spark, odd, monkeypatch):
+    """Cores beyond the bound take the other way, to the same result."""
+    monkeypatch.setattr(suffix_dedup, "MOST", 1)
+    check_cut(odd)
+    passage = prose(9, 45)
+    check_cut(spark.createDataFrame([(k, prose(k, 5 + k) + passage + prose(90 + k, 30)) for k in range(30)], "doc_id long, text string"))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(min_size=8, max_size=40).map(lambda b: bytes(c % 2 for c in b)), min_size=1, max_size=8), st.integers(8, 33))
+def test_suffix_order(texts, length):
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    starts = np.arange(max(0, len(buf) - length + 1))
+    order, same = suffix_dedup.suffix_order(buf, starts, length)
+    strings = [buf[k : k + length].tobytes() for k in starts]
+    assert order.tolist() == sorted(range(len(strings)), key=lambda k: (strings[k], k))
+    assert same.tolist() == [k > 0 and strings[order[k]] == strings[order[k - 1]] for k in range(len(order))]
+
+
+def test_cores_stay_whole_over_batches():
+    rows = [(core, 10 * core + k, 0, True, bytes([core] * 3 + [k % 2]) * 60) for core in range(6) for k in range(4)]
+    table = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], names=["core", "g", "lo", "open", "context"])
+    want = Counter((g, at) for core, g, _, _, c in rows for at in range(len(c) - 199) if sum(c[at : at + 200] == d[j : j + 200] for x, _, _, _, d in rows if x == core for j in range(len(d) - 199)) > 1)
+    for size in (1, 3, 24):
+        for together in (1, 1000, 1 << 20):
+            suffix_dedup.TOGETHER, old = together, suffix_dedup.TOGETHER
+            try:
+                found = [r for b in suffix_dedup._ordered((table.slice(k, size) for k in range(0, 24, size)), 200) for r in zip(*(c.to_pylist() for c in b.columns))]
+            finally:
+                suffix_dedup.TOGETHER = old
+            assert Counter(found) == want
+
+
 def test_suffix_dedup_strips_texts(odd):
     out = suffix_dedup.strip(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
