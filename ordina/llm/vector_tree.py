@@ -6,15 +6,20 @@ centre first) until it has visited a number of leaves, which is calibrated: quer
 the sample widen their visits until they find the asked share of their true neighbours.
 Queries then meet the vectors of the leaves they visit, block by block, and distances are
 computed in double precision on the original vectors. The first few leaves of a query give a
-radius, the distance of its k-th nearest there; from all others only vectors within it return.
+radius, the distance of its k-th nearest there. A leaf farther away than that (by the triangle
+inequality: the distance to its centre less the farthest of its vectors from the centre) is left
+out, and from all others only vectors within the radius return.
 
 Leaves grow with neither the rows nor hot vectors: a leaf of many rows (a vector that a third
 of the rows share) is split by salt, its queries go to each part, and every part returns its
-own nearest. Nothing is capped.
+own nearest. Nothing is capped. Vectors without any clusters need most leaves for a high recall,
+and the work is then near that of comparing each query with all rows.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or have another
 number of components than most take no part. Ties go to the smaller id. Rows of one id are one
-vector. Fewer candidates than asked: all of them. Null ids take no part.
+vector, the first of them in order of components. Fewer candidates than asked: all of them. Null
+ids take no part. An empty table gives an empty result. Columns other than id and embedding are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordina.llm._store import durable, pick
+from ordina.llm._store import durable, forget, pick
 
 
 @dataclass(frozen=True)
@@ -44,7 +49,7 @@ class Index:
     rounds: int = 8
     calibration: int = 200
     recall: float = 0.97
-    part: int = 4096
+    part: int = 8192
     block: int = 4096
     first: int = 4
     seed: int = 23
@@ -73,9 +78,9 @@ class Tree:
                 self.leaves += 1
         return self
 
-    def assign(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each row: down to the nearest child each time."""
-        out = np.zeros(len(x), np.int64)
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaf of each row (down to the nearest child each time), and the distance to its centre."""
+        out, far = np.zeros(len(x), np.int64), np.zeros(len(x))
         todo = [(0, np.arange(len(x)))]
         while todo:
             node, rows = todo.pop()
@@ -83,20 +88,20 @@ class Tree:
             if not len(rows):
                 continue
             if not len(kids):
-                out[rows] = self.leaf[node]
+                out[rows], far[rows] = self.leaf[node], distances(self.matrix[node], x[rows])
                 continue
             near = nearest(x[rows], self.matrix[kids])
             todo += [(int(kid), rows[near == k]) for k, kid in enumerate(kids)]
-        return out
+        return out, far
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """Up to most leaves, best bin first."""
+    def visits(self, q: np.ndarray, most: int) -> list[tuple[int, float]]:
+        """Up to most leaves, best bin first, and the distances to their centres."""
         queue, found = [(0.0, 0)], []
         while queue and len(found) < most:
-            _, node = heapq.heappop(queue)
+            square, node = heapq.heappop(queue)
             kids = self.children[node]
             if not len(kids):
-                found.append(self.leaf[node])
+                found.append((self.leaf[node], square**0.5 if node else float(distances(q, self.matrix[:1])[0])))
                 continue
             d = ((self.matrix[kids] - q) ** 2).sum(axis=1)
             for k, kid in enumerate(kids.tolist()):
@@ -150,11 +155,11 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def calibrate(tree: Tree, x: np.ndarray, k: int, how: Index = Index()) -> tuple[int, float]:
     """Leaf visits with which queries out of the sample find the asked share of their k nearest, and the share found."""
     rng = np.random.default_rng(how.seed + 1)
-    leaf = tree.assign(x)
+    leaf, _ = tree.assign(x)
     ranks = []
     for i in rng.choice(len(x), min(how.calibration, len(x)), replace=False):
         order = np.full(tree.leaves, tree.leaves)
-        seen = tree.visits(x[i], tree.leaves)
+        seen = [leaf for leaf, _ in tree.visits(x[i], tree.leaves)]
         order[seen] = np.arange(len(seen))
         d = distances(x[i], x)
         d[i] = np.inf
@@ -181,30 +186,58 @@ def _probes(batches: Iterator[pa.RecordBatch], tree: Tree, visits: int) -> Itera
     for batch in batches:
         if not batch.num_rows:
             continue
-        leaves = [tree.visits(q, visits) for q in _matrix(batch.column("embedding"))]
-        row = np.repeat(np.arange(batch.num_rows), [len(v) for v in leaves])
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(row)), batch.column("embedding").take(pa.array(row)), pa.array(np.concatenate(leaves).astype(np.int64)), pa.array(np.concatenate([np.arange(len(v)) for v in leaves]).astype(np.int32))], names=["query_id", "query", "leaf", "visit"])
+        found = [tree.visits(q, visits) for q in _matrix(batch.column("embedding"))]
+        row = pa.array(np.repeat(np.arange(batch.num_rows), [len(v) for v in found]))
+        leaf, away = (np.array([v[k] for one in found for v in one]) for k in (0, 1))
+        visit = np.concatenate([np.arange(len(v)) for v in found])
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(row), batch.column("embedding").take(row), pa.array(leaf.astype(np.int64)), pa.array(visit.astype(np.int32)), pa.array(away)], names=["query_id", "query", "leaf", "visit", "away"])
+
+
+#: Queries compared with a part at once.
+TOGETHER = 128
+
+
+def within(q: np.ndarray, own: np.ndarray, radius: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per query (vectors q with ids own) the k nearest of x within its radius, itself left out: query, row of x and distance; ties to the smaller id.
+
+    A matrix product finds the rows that may be among them, up to its rounding; the distances of these are then computed as such.
+    """
+    # of equal vectors only the k + 1 smallest ids can be among the nearest
+    order = np.argsort(ids, kind="stable")
+    _, same = np.unique(np.ascontiguousarray(x[order]).view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_inverse=True)
+    by = np.argsort(same, kind="stable")
+    place = np.arange(len(by)) - np.searchsorted(same[by], same[by])
+    order = order[by[place <= k]]
+    x, ids = x[order], ids[order]
+    square = (x * x).sum(axis=1)
+    out = []
+    for a in range(0, len(q), TOGETHER):
+        here = q[a : a + TOGETHER]
+        d = (here * here).sum(axis=1)[:, None] + square - 2 * (here @ x.T)
+        slack = 1e-11 * ((here * here).sum(axis=1) + square.max(initial=0.0))
+        d[own[a : a + TOGETHER, None] == ids] = np.inf
+        d[d > (radius[a : a + TOGETHER] ** 2 + slack)[:, None]] = np.inf
+        edge = np.partition(d, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(here), np.inf)
+        i, j = np.nonzero(np.isfinite(d) & (d <= (edge + 2 * slack)[:, None]))
+        exact = distances(here[i], x[j])
+        near = exact <= radius[a + i]
+        i, j, exact = i[near], j[near], exact[near]
+        by = np.lexsort((ids[j], exact, i))
+        i, j, exact = i[by], j[by], exact[by]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append((a + i[first], order[j[first]], exact[first]))
+    return tuple(np.concatenate([o[n] for o in out]) for n in range(3))
 
 
 def _meet(k: int):
     def meet(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        """The k nearest vectors of the part within each query's radius; ties to the smaller id."""
+        """The k nearest vectors of the part within each query's radius."""
         if not len(queries) or not len(vectors):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids, first = np.unique(vectors.vec_id.to_numpy(), return_index=True)
-        x = np.stack(vectors.embedding.to_numpy()[first]).astype(np.float64)
-        out = []
-        for query_id, q, radius in zip(queries.query_id, queries["query"], queries.radius, strict=True):
-            d = distances(np.asarray(q, np.float64), x)
-            d[(ids == query_id) | (d > radius)] = np.inf
-            own = min(k, int(np.isfinite(d).sum()))
-            if not own:
-                continue
-            edge = np.partition(d, own - 1)[own - 1]
-            some = np.flatnonzero(d <= edge)
-            some = some[np.lexsort((ids[some], d[some]))[:own]]
-            out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[some], "score": d[some]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        x, q = (np.stack(v.to_numpy()).astype(np.float64) for v in (vectors.embedding, queries["query"]))
+        ids, own = vectors.vec_id.to_numpy(), queries.query_id.to_numpy()
+        i, j, d = within(q, own, queries.radius.to_numpy(), x, ids, k)
+        return pd.DataFrame({"query_id": own[i], "vec_id": ids[j], "score": d})
 
     return meet
 
@@ -218,25 +251,36 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, how: Index = Index(
     if sizes is None:
         return spark.createDataFrame([], result)
     rows = rows.where(F.size("embedding") == sizes["d"])
-    share = min(1.0, 1.5 * how.sample / sizes["n"])
+    if rows.groupBy("vec_id").count().where("count > 1").isEmpty():
+        total = sizes["n"]
+    else:
+        rows = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+        total = rows.count()
+    share = min(1.0, 1.5 * how.sample / total)
     u = F.pmod(F.xxhash64(F.lit(31), "vec_id"), F.lit(1 << 20))
     sample = rows.where(u < share * (1 << 20)).orderBy(u, "vec_id").limit(how.sample).toArrow()
     if not sample.num_rows:
         sample = rows.limit(how.sample).toArrow()
     x = _matrix(sample.column("embedding").combine_chunks())
-    tree = fit(x, max(1, int(how.leaf * min(1.0, len(x) / sizes["n"]))), how)
+    tree = fit(x, max(1, int(how.leaf * min(1.0, len(x) / total))), how)
     visits, _ = calibrate(tree, np.unique(x, axis=0), k, how)
     shared = spark.sparkContext.broadcast(tree)
-    leaf = F.arrow_udf(lambda e: pa.array(shared.value.assign(_matrix(e))) if len(e) else pa.array([], pa.int64()), T.LongType()).asNondeterministic()
-    indexed = durable(rows.withColumn("leaf", leaf("embedding")), "vectors-leaves")
-    schema = T.StructType([T.StructField("query_id", rows.schema["vec_id"].dataType), T.StructField("query", rows.schema["embedding"].dataType), T.StructField("leaf", T.LongType()), T.StructField("visit", T.IntegerType())])
-    asked = durable(rows.where(queries).dropDuplicates(["vec_id"]).mapInArrow(lambda batches: _probes(batches, shared.value, visits), schema), "vectors-probes")
 
-    def parts(df: DataFrame, name: str, most: int) -> DataFrame:
+    @F.arrow_udf(T.StructType([T.StructField("leaf", T.LongType()), T.StructField("far", T.DoubleType())]))
+    def assign(e: pa.Array) -> pa.Array:
+        leaf, far = shared.value.assign(_matrix(e)) if len(e) else (np.zeros(0, np.int64), np.zeros(0))
+        return pa.StructArray.from_arrays([pa.array(leaf), pa.array(far)], names=["leaf", "far"])
+
+    indexed = durable(rows.withColumn("_at", assign.asNondeterministic()("embedding")).select("*", "_at.*").drop("_at"), "vectors-leaves")
+    schema = T.StructType([T.StructField("query_id", rows.schema["vec_id"].dataType), T.StructField("query", rows.schema["embedding"].dataType), T.StructField("leaf", T.LongType()), T.StructField("visit", T.IntegerType()), T.StructField("away", T.DoubleType())])
+    asked = durable(indexed.where(queries).select("vec_id", "embedding").mapInArrow(lambda batches: _probes(batches, shared.value, visits), schema), "vectors-probes")
+
+    def parts(df: DataFrame, name: str, most: int, *more: Column) -> DataFrame:
         """Leaf and its number of parts: no more rows than the tree has leaves, so no more than the sample."""
-        return df.groupBy("leaf").agg(F.ceil(F.count("*") / most).cast("int").alias(name)).withColumnRenamed("leaf", "l")
+        return df.groupBy("leaf").agg(F.ceil(F.count("*") / most).cast("int").alias(name), *more).withColumnRenamed("leaf", "l")
 
-    split = F.broadcast(parts(indexed, "parts", how.part).join(parts(asked, "blocks", how.block), "l"))
+    split = durable(parts(indexed, "parts", how.part, F.max("far").alias("reach")).join(parts(asked, "blocks", how.block), "l"), "vectors-split")
+    split = F.broadcast(split)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     some = lambda id, n: F.pmod(F.xxhash64(id), F.col(n)).cast("int")
     asked = asked.join(split, F.col("leaf") == F.col("l")).withColumns({"part": every("parts"), "block": some("query_id", "blocks")})
@@ -255,4 +299,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, how: Index = Index(
     near = durable(best(met(asked.where(F.col("visit") < how.first).withColumn("radius", everything))).drop("rank"), "vectors-near")
     radius = near.groupBy(F.col("query_id").alias("q")).agg(F.when(F.count("*") >= k, F.max("score")).otherwise(everything).alias("radius"))
     rest = asked.where(F.col("visit") >= how.first).join(radius, F.col("query_id") == F.col("q"), "left").withColumn("radius", F.coalesce("radius", everything))
-    return best(near.unionByName(met(rest))).select("query_id", "rank", "vec_id", "score")
+    rest = rest.where(F.col("away") - F.col("reach") <= F.col("radius") * (1 + 1e-9))
+    out = durable(best(near.unionByName(met(rest))).select("query_id", "rank", "vec_id", "score"), "vectors-found")
+    forget(spark, near, asked, indexed, split)
+    return out

@@ -408,6 +408,39 @@ def test_vector_tree(spark):
     assert vector_tree.search(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_vector_tree_of_clusters(spark, none):
+    """Clustered vectors, an id with two vectors, clashing columns: recall against brute force."""
+    rng = np.random.default_rng(3)
+    x = (rng.standard_normal((40, 1, 12)) * 5 + rng.standard_normal((40, 60, 12))).reshape(-1, 12).astype(np.float32)
+    rows = [(int(k), v.tolist(), 1, "a", 0) for k, v in enumerate(x)]
+    twice = (100 * x[0] + 1).tolist()
+    rows += [(7, twice, 1, "b", 0), (7, twice, 1, "b", 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, leaf int, Vec_ID_ string, count long")
+    x[7] = min(x[7].tolist(), twice)
+    y, hits = x.astype(float), 0
+    got = vector_tree.search(df, F.col("vec_id") % 100 == 0, how=vector_tree.Index(leaf=16, first=2, sample=1500)).collect()
+    for q in range(0, 2400, 100):
+        d = np.sqrt(((y - y[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        found = [(r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q]
+        assert len(found) == len({v for _, v in found}) == 10 and np.allclose([s for s, _ in found], d[[v for _, v in found]])
+        hits += len(set(np.argsort(d, kind="stable")[:10].tolist()) & {v for _, v in found})
+    assert hits >= 0.9 * 240
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 60), st.integers(1, 12), st.integers(1, 5))
+def test_within(seed, n, m, k):
+    rng = np.random.default_rng(seed)
+    x, ids = rng.integers(0, 3, (n, 2)).astype(float), rng.permutation(n)
+    q, own, radius = rng.integers(0, 3, (m, 2)).astype(float), rng.integers(0, n, m), rng.choice([0.0, 1.0, 1.5, np.inf], m)
+    i, j, d = vector_tree.within(q, own, radius, x, ids, k)
+    for a in range(m):
+        exact = vector_tree.distances(q[a], x)
+        want = sorted((exact[b], ids[b]) for b in range(n) if ids[b] != own[a] and exact[b] <= radius[a])[:k]
+        assert [(s, ids[b]) for s, b in zip(d[i == a], j[i == a])] == want
+
+
 # --- 6 and 8
 
 
