@@ -6,13 +6,19 @@ links (personalised PageRank, not scaled down: the seeds plus what the damped li
 distrust against them, over edges between different hosts. A host is blocked when its
 distrust less its trust exceeds a share of its pages; its pages without a rule follow it.
 
-Edges are links (href, src) of the pages to other hosts, counted by host pair; relative
-links stay on the page's own host and carry nothing. Rounds go on until what is left to come is negligible. Counting is by partial sums and the verdicts return by a checked broadcast or a salted join, so a host
-with a third of all pages is no hot spot.
+Edges are links of the pages to other hosts, counted by host pair: values of the attributes href
+and src, in quotes of either kind or none, blanks around them dropped. A link's host is named as a
+page's is (in lower case, with its port); user names before an @ are dropped. Relative
+links stay on the page's own host and carry nothing. Rounds go on until what is left to come is
+negligible. Counting is by partial sums, a hub's links are split over several tasks, and the
+verdicts return by a checked broadcast or a salted join, so a host with a third of all pages or
+links is no hot spot.
 
 Defined cases: a null url or one without `://` has empty host and path, no rule fits, and it is
-allowed (the empty host takes no part in the graph). Null html has no links. Repeated rows are
-pages of their own.
+allowed (the empty host takes no part in the graph). Null html has no links; html is read whole,
+however long. Repeated rows are pages of their own. Of rules of equal length, that with the longer
+host wins, then the first. An empty table gives an empty result. Columns other than id, url and html are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +32,11 @@ from ordina.llm._store import durable, flag, forget, pick
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOST, PATH = "://([^/?#]*)", "://[^/?#]*([^?#]*)"
-LINK = "(?i)(?:href|src)\\s*=\\s*[\"']([^\"'>]*)"
-ABSOLUTE = "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
+BLANK = "\\x09\\x0A\\x0C\\x0D\\x20"
+LINK = f"(?i)[{BLANK}\"'](?:href|src)[{BLANK}]*=[{BLANK}]*[\"']?[{BLANK}]*([^{BLANK}\"'>]*)"
+ABSOLUTE = "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#@]*)"
+#: Links of a host that one task handles in a round.
+HUB = 100_000
 
 
 @dataclass(frozen=True)
@@ -51,11 +60,9 @@ class Spread:
     """damping of the propagation; threshold: the share of a host's pages that distrust less trust must exceed; cut: rounds between written tables.
 
     tolerance: rounds go on until all that is still to come, over all hosts together, is no more than this part of the threshold of one page.
-    rounds: those that judge_sql unrolls; host_scores has no limit.
     """
 
     damping: float = 0.85
-    rounds: int = 8
     threshold: float = 0.5
     cut: int = 4
     tolerance: float = 1e-6
@@ -94,27 +101,33 @@ def host_scores(pages: DataFrame, how: Spread = Spread()) -> DataFrame:
     outside = held.join(hosts, held["dst"] == hosts["host"], "left_anti").select(F.col("dst").alias("host")).distinct()
     hosts = durable(hosts.unionByName(outside.select("host", F.lit(0).cast("long").alias("pages"), F.lit(0.0).alias("allow"), F.lit(0.0).alias("block"))), "links-hosts")
     both = held.select(F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "links").union(held.select(F.lit(1), "dst", "src", "links"))
-    total = both.groupBy(F.col("kind").alias("k"), F.col("a").alias("h")).agg(F.sum("links").alias("total"))
-    step = both.join(total, (F.col("kind") == F.col("k")) & (F.col("a") == F.col("h"))).select("kind", "a", "b", (F.col("links") / F.col("total")).alias("share"))
+    total = both.groupBy(F.col("kind").alias("k"), F.col("a").alias("h")).agg(F.sum("links").alias("total"), F.ceil(F.count("*") / HUB).cast("int").alias("parts"))
+    total = durable(total, "links-totals")
+    step = both.join(total, (F.col("kind") == F.col("k")) & (F.col("a") == F.col("h")))
+    step = step.select("kind", "a", "b", (F.col("links") / F.col("total")).alias("share"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(None).cast("int").alias("parts"))
     seed = hosts.select(F.lit(0).alias("kind"), "host", F.col("allow").alias("seed")).union(hosts.select(F.lit(1), "host", "block"))
-    own = seed.select("kind", F.col("host").alias("a"), F.col("host").alias("b"), F.lit(None).cast("double").alias("share"))
+    seed = seed.join(total, (F.col("kind") == F.col("k")) & (F.col("host") == F.col("h")), "left").select("kind", "host", "seed", F.coalesce("parts", F.lit(1)).alias("parts"))
+    own = seed.select("kind", F.col("host").alias("a"), F.col("host").alias("b"), F.lit(None).cast("double").alias("share"), F.lit(0).alias("part"), "parts")
     step = durable(step.unionByName(own), "links-steps")  # a step of a host to itself, without share, keeps what it has
     # what a round brings shrinks by damping at least, so all later ones together bring no more than damping / (1 - damping) times that
     if not 0 <= how.damping < 1:
         raise ValueError("damping is 0 or more and below 1")
     least, more = how.tolerance * how.threshold, how.damping / (1 - how.damping)
-    mass = old = durable(seed.select("kind", "host", F.col("seed").alias("mass"), F.col("seed").alias("new")), "links-mass")
+    mass = old = durable(seed.select("kind", "host", F.col("seed").alias("mass"), F.col("seed").alias("new"), "parts"), "links-mass")
     while (mass.agg(F.sum("new")).first()[0] or 0.0) * more > least:
         for _ in range(how.cut):
-            on = mass.select(F.col("kind").alias("k"), F.col("host").alias("h"), "mass", "new").join(step, (F.col("k") == F.col("kind")) & (F.col("h") == F.col("a")))
+            dealt = mass.select(F.col("kind").alias("k"), F.col("host").alias("h"), "mass", "new", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
+            on = dealt.join(step, (F.col("k") == F.col("kind")) & (F.col("h") == F.col("a")) & (F.col("p") == F.col("part")))
             come = F.coalesce(how.damping * F.col("new") * F.col("share"), F.lit(0.0))
-            on = on.select("kind", F.col("b").alias("host"), F.when(F.col("share").isNull(), F.col("mass")).otherwise(come).alias("mass"), come.alias("new"))
-            mass = on.groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("new").alias("new"))
+            on = on.select("kind", F.col("b").alias("host"), F.when(F.col("share").isNull(), F.col("mass")).otherwise(come).alias("mass"), come.alias("new"), "parts")
+            mass = on.groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("new").alias("new"), F.max("parts").alias("parts"))
         mass = durable(mass, "links-mass")
         forget(spark, old)
         old = mass
     both = mass.groupBy("host").agg(F.sum(F.when(F.col("kind") == 0, F.col("mass"))).alias("trust"), F.sum(F.when(F.col("kind") == 1, F.col("mass"))).alias("distrust"))
     out = both.join(hosts.select(F.col("host").alias("h"), "pages"), F.col("host") == F.col("h")).drop("h")
+    out = durable(out, "links-scores")
+    forget(spark, held, hosts, total, step, mass)
     return out.withColumn("host_blocked", F.col("distrust") - F.col("trust") > how.threshold * F.col("pages"))
 
 
@@ -128,7 +141,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, how: Spread = Sprea
 
 
 def judge_sql(table: str = "pages", rules: tuple[Rule, ...] = RULES, how: Spread = Spread()) -> str:
-    """judge() in DuckDB SQL."""
+    """judge() in DuckDB SQL; what is left to come after 300 rounds is below any rounding."""
 
     def quoted(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
@@ -137,13 +150,8 @@ def judge_sql(table: str = "pages", rules: tuple[Rule, ...] = RULES, how: Spread
         lines = [f"WHEN (host = {quoted(r.host)} OR host LIKE {quoted('%.' + r.host)}) AND starts_with(path, {quoted('/' + r.path)}) THEN {quoted(pick(r))}" for r in sorted(rules, key=lambda r: (-len(r.name), -len(r.host)))]
         return "CASE " + " ".join(lines) + " END"
 
-    rounds = "".join(
-        f""", m{k} AS (SELECT m.kind, m.host, m.seed, m.seed + {how.damping} * coalesce(c.come, 0.0) AS mass FROM m{k - 1} m LEFT JOIN
- (SELECT s.kind, s.b, sum(x.mass * s.share) AS come FROM m{k - 1} x JOIN step s ON x.kind = s.kind AND x.host = s.a GROUP BY ALL) c ON c.kind = m.kind AND c.b = m.host)"""
-        for k in range(1, how.rounds + 1)
-    )
     return f"""
-WITH parts AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '{HOST}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '{PATH}', 1) AS path FROM {table}),
+WITH RECURSIVE parts AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '{HOST}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '{PATH}', 1) AS path FROM {table}),
 ruled AS (SELECT *, {case(lambda r: r.name)} AS rule, {case(lambda r: r.verdict)} AS ruled_verdict FROM parts),
 links AS (SELECT host, unnest(regexp_extract_all(html, {quoted(LINK)}, 1)) AS link FROM ruled WHERE host <> ''),
 held AS (SELECT host AS src, t AS dst, count(*) AS links
@@ -152,7 +160,9 @@ own AS (SELECT host, count(*) AS pages, count(*) FILTER (ruled_verdict = 'allow'
 hosts AS (SELECT * FROM own UNION ALL SELECT DISTINCT dst, 0, 0.0, 0.0 FROM held WHERE dst NOT IN (SELECT host FROM own)),
 way AS (SELECT 0 AS kind, src AS a, dst AS b, links FROM held UNION ALL SELECT 1, dst, src, links FROM held),
 step AS (SELECT kind, a, b, links / sum(links) OVER (PARTITION BY kind, a) AS share FROM way),
-m0 AS (SELECT kind, host, seed, seed AS mass FROM (SELECT 0 AS kind, host, allowed AS seed FROM hosts UNION ALL SELECT 1, host, blocked FROM hosts)){rounds},
-bad AS (SELECT host FROM (SELECT host, sum(mass) FILTER (kind = 1) - sum(mass) FILTER (kind = 0) AS d FROM m{how.rounds} GROUP BY host) JOIN hosts USING (host) WHERE d > {how.threshold} * pages)
+seeds AS (SELECT 0 AS kind, host, allowed AS seed FROM hosts UNION ALL SELECT 1, host, blocked FROM hosts),
+flow AS (SELECT 0 AS k, kind, host, seed::DOUBLE AS new FROM seeds UNION ALL
+ SELECT k + 1, kind, b, new FROM (SELECT f.k, s.kind, s.b, sum({how.damping} * f.new * s.share) AS new FROM flow f JOIN step s ON f.kind = s.kind AND f.host = s.a WHERE f.k < 300 GROUP BY ALL) WHERE new > 1e-15),
+bad AS (SELECT host FROM (SELECT host, coalesce(sum(mass) FILTER (kind = 1), 0) - coalesce(sum(mass) FILTER (kind = 0), 0) AS d FROM (SELECT kind, host, sum(new) AS mass FROM flow GROUP BY ALL) GROUP BY host) JOIN hosts USING (host) WHERE d > {how.threshold} * pages)
 SELECT page_id, host, path, rule, coalesce(ruled_verdict, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict, host IN (SELECT host FROM bad) AS host_blocked FROM ruled
 """

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from html.parser import HTMLParser
+from urllib.parse import urlsplit
+
 import numpy as np
 import pandas as pd
 
@@ -32,3 +36,45 @@ def test_long_chain_and_cycle(spark):
     trust, distrust = solved(seeds["allow"], links, 0.85), solved(seeds["block"], [(b, a) for a, b in links], 0.85)
     assert np.allclose([got[h].trust for h in hosts], trust, atol=1e-5) and np.allclose([got[h].distrust for h in hosts], distrust, atol=1e-5)
     assert got["c0.io"].host_blocked and got["c0.io"].pages == 10
+
+
+HTML = [
+    '<p><a href="https://B.com/x">b</a> <A HREF=\'http://c.com:8080/\'>c</A></p>',
+    "<a class=x href=http://d.com/a>d</a><img src=//e.com/i.png>",
+    '<a href=" https://b.com/ ">b</a><a\nhref = "https://u:p@f.com:1/q?x#y">f</a>',
+    '<a data-href="https://no.com/" href="/own">x</a><a href="#top">y</a><a href="mailto:x@z.com">z</a>',
+    '<a title="t"href="https://g.com">g</a><a href="">e</a><a href>e</a>',
+    None,
+    "",
+    "plain text, href but no tag",
+]
+
+
+def test_links_against_a_parser(spark):
+    """Hosts of links, against Python's own HTML parser and URL splitter."""
+    want = Counter()
+
+    class Links(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            for name, value in attrs:
+                if name in ("href", "src") and value and (host := urlsplit(value.strip()).netloc.rpartition("@")[2].lower()):
+                    want["a.com", host] += 1
+
+    for html in HTML:
+        Links().feed(html or "")
+    got = link_rank.edges(spark.createDataFrame([("a.com", h) for h in HTML], "host string, html string")).collect()
+    assert {(r.src, r.dst): r.links for r in got} == want and len(want) == 6
+
+
+def test_hub_in_parts(spark, monkeypatch):
+    """A hub whose links are split over tasks gives what the solved system gives."""
+    hosts = ["hub.io", *[f"h{k}.io" for k in range(12)]]
+    links = [(0, k) for k in range(1, 13)] + [(k, 0) for k in range(1, 13)] + [(1, 2)]
+    html = {k: "".join(f'<a href="https://{hosts[b]}/">' for a, b in links if a == k) for k in range(13)}
+    pages = [(h, html[k], "allow" if k == 0 else "block" if k in (3, 4) else None) for k, h in enumerate(hosts)]
+    df = spark.createDataFrame(pages, "host string, html string, ruled_verdict string")
+    monkeypatch.setattr(link_rank, "HUB", 3)
+    got = {r.host: r for r in link_rank.host_scores(df).collect()}
+    trust = solved([1.0, *[0.0] * 12], links, 0.85)
+    distrust = solved([float(k in (3, 4)) for k in range(13)], [(b, a) for a, b in links], 0.85)
+    assert np.allclose([got[h].trust for h in hosts], trust, atol=1e-5) and np.allclose([got[h].distrust for h in hosts], distrust, atol=1e-5)
