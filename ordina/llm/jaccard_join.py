@@ -2,12 +2,13 @@
 
 Documents with the same set of shingles are one class from the start. Each class has a
 MinHash signature; classes that agree in a band of it are candidates, and candidates
-connected through bands form clusters. Inside a cluster the MinHash values of pairs are
+connected through bands form clusters. A cluster is one block; one of many classes is split into
+blocks by a band that its classes share, and two blocks meet only if they have a band in common.
+Where blocks meet, the MinHash values of pairs are
 compared some at a time: the agreements so far leave a Beta posterior of the similarity
 (uniform prior), and a pair is dropped as soon as the probability that it reaches the
 threshold falls below a tolerance. The remaining pairs are verified by their exact shingle
-sets. Clusters are compared block against block, pairs never become rows: a block pair
-gives the links per class and a spanning forest of them.
+sets. Pairs never become rows: two blocks give the links per class and a spanning forest of them.
 
 A pair at the threshold agrees in no band with a probability of (1 - t**rows)**bands
 (5e-8 with the defaults), and is dropped wrongly with about the tolerance.
@@ -15,7 +16,9 @@ A pair at the threshold agrees in no band with a probability of (1 - t**rows)**b
 Defined cases: words are runs of non-space bytes, compared as they are. A text of fewer than
 n words has one shingle, all its words. A text without words (or null) links to nothing and is
 a class of its own, as is each of its rows. Repeated rows and copies are members of the same
-class. Class ids are the smallest document id of the class (null only if all are).
+class. Class ids are the smallest document id of the class (null only if all are). Texts are whole,
+however long. An empty table gives an empty result. Columns other than id and text are found by
+exact name, so no name clashes.
 """
 
 from __future__ import annotations
@@ -159,7 +162,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     mark = None
     while True:
         step = durable(small(large(now)), name)
-        seen = step.agg(F.count("*"), F.sum(F.hash("x", "y").cast("long"))).first()
+        named = F.xxhash64("x", "y")
+        seen = step.agg(F.count("*"), F.bit_xor(named), F.sum(F.shiftright(named, 24))).first()
         forget(now.sparkSession, now)
         now = step
         if tuple(seen) == mark:
@@ -261,9 +265,9 @@ def _verify(how: Join):
 
 
 def join(docs: DataFrame, how: Join = Join(), id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, a, b (the name of its shingle set, null without words), class_id, n_links.
+    """One row per document: doc_id, a, b (the name of its shingle set, null without words), class_id, n_links, class_key.
 
-    n_links counts the other documents whose similarity to it is the threshold or more, its
+    class_key tells classes apart whose smallest ids are equal (null without words). n_links counts the other documents whose similarity to it is the threshold or more, its
     equals included; classes are connected by links.
     """
     spark = docs.sparkSession
@@ -275,48 +279,55 @@ def join(docs: DataFrame, how: Join = Join(), id: str = "doc_id", text: str = "t
     nodes = durable(sets.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
     banded = nodes.select("node", "signature").mapInArrow(lambda batches: _bands(batches, how), "band long, node long")
     least = durable(banded.groupBy("band").agg(F.min("node").alias("x"), F.max("node").alias("last")).where("x != last").select("band", "x"), "jaccard-bands")
-    edges = banded.join(least, "band").where("node != x").select("x", F.col("node").alias("y"))
-    cluster = components(edges, "jaccard-clusters")
+    held = durable(banded.join(least, "band"), "jaccard-shared")  # bands of more than one class
+    cluster = components(held.where("node != x").select("x", F.col("node").alias("y")), "jaccard-clusters")
     member = cluster.union(cluster.select(F.col("root").alias("node"), "root").distinct()).distinct()
     member = durable(member.join(nodes.drop("least_id"), "node"), "jaccard-members")
-    # blocks: a member's place in its cluster comes from its node's rank, a cluster of one block stays whole
-    width = member.groupBy("root").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / how.block).cast("int"))
-    placed = member.join(width.select("root", "blocks"), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    forget(spark, least, cluster)
+    # a cluster of up to a block's classes stays whole; larger ones are split by the band of least hash that a class shares, which similar classes tend to have in common
+    large = member.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > how.block).select("root")
+    wide = held.join(member.select("node", "root").join(large, "root"), "node").select("node", "band")
+    home = wide.groupBy("node").agg(F.min(F.xxhash64("band")).alias("home"))
+    parts = home.groupBy("home").agg(F.ceil(F.count("*") / how.block).cast("int").alias("parts"))
+    home = durable(home.join(parts, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")), "jaccard-blocks")
+    at = durable(wide.join(home, "node").select("band", "block").distinct(), "jaccard-bands-of-blocks")
+    meets = durable(at.join(at.select("band", F.col("block").alias("other")), "band").select("block", "other").distinct(), "jaccard-meets")  # blocks, not classes: a block has many
+    placed = member.join(home, "node", "left")
     texts = rows.withColumn("k", F.arrow_udf(lambda t: _identity(t, how.n), T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])).asNondeterministic()("text")).select("text", "k.a", "k.b").where("a is not null")
     full = texts.groupBy("a", "b").agg(F.first("text").alias("text")).join(placed, ["a", "b"])  # copies meet in each task first
     full = durable(full.drop("a", "b"), "jaccard-texts")
-    # every block meets itself and each later block once; a block goes to as many pairs as its cluster has blocks
-    pairs = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # two blocks meet once, and each block itself
+    pairs = full.where("block is null").withColumns({"block": F.lit(0).cast("long"), "other": F.lit(0).cast("long")}).unionByName(full.where("block is not null").join(meets, "block"))
     pairs = pairs.select("root", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "copies", "signature", "text")
     found = durable(pairs.groupBy("root", "p", "q").applyInPandas(_verify(how), "x long, y long, links long"), "jaccard-links")
     links = found.where("y is null").groupBy(F.col("x").alias("node")).agg(F.sum("links").alias("links"))
+    forget(spark, member, home, at, meets, full, held)
     roots = components(found.where("y is not null").select("x", "y"), "jaccard-classes")
     named = nodes.select("a", "b", "copies", "least_id", "node").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("class_id"))
     # single classes need no second look: a root is shared by linked classes alone
-    classes = durable(named.join(ids, "root").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "jaccard-named")
+    classes = durable(named.join(ids, "root").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "jaccard-named")
+    forget(spark, nodes, found, roots)
     out = signed.select("doc_id", "a", "b").join(classes, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left")
-    return out.select("doc_id", "a", "b", F.when(F.col("a").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "a", "b", F.when(F.col("a").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("root").alias("class_key"))
 
 
 def keep_one(docs: DataFrame, how: Join = Join(), id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each class: that of the smallest id, and of rows alike in id and text, one.
+    """docs with one document of each class: that of the smallest id, one row of it.
 
-    Ids name documents: rows that share an id but not their text stay or go together. Documents
-    without an id or without words all stay.
+    An id may stand on several rows: each is judged by its own text. Documents without an id or
+    without words all stay. An empty table stays empty; other columns, of whatever names, are kept.
     """
     names = docs.columns
     found = join(docs, how, id, text)
+    key, rest = F.col(f"_{names.index(id)}"), flat(docs)
     gone = found.where("a is not null and doc_id != class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    key = F.col(f"_{names.index(id)}")
-    rest = flat(docs).join(gone, key.eqNullSafe(F.col("_gone")), "left_anti")
-    # the smallest id may stand on several rows of one class
-    again = found.where("a is not null and doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"))
     if again.isEmpty():
-        return rest.toDF(*names)
-    again = again.withColumnRenamed("doc_id", "_again")
-    many = rest.join(again, key.eqNullSafe(F.col("_again")), "left_semi")
-    named = many.withColumn("_k", F.arrow_udf(lambda t: _identity(t, how.n), T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])).asNondeterministic()(F.col(f"_{names.index(text)}")))
-    worded = named.where("_k.a is not null").groupBy(key).agg(F.first(F.struct(*[f"_{i}" for i in range(len(names))])).alias("r")).select("r.*")
-    bare = named.where("_k.a is null").drop("_k")
-    return rest.join(again, key.eqNullSafe(F.col("_again")), "left_anti").unionByName(worded).unionByName(bare).toDF(*names)
+        return rest.join(gone, key.eqNullSafe(F.col("_gone")), "left_anti").toDF(*names)
+    single = rest.join(again, key.eqNullSafe(F.col("_again")), "left_anti").join(gone, key.eqNullSafe(F.col("_gone")), "left_anti")
+    named = rest.join(again, key.eqNullSafe(F.col("_again")), "left_semi").withColumn("_k", F.arrow_udf(lambda t: _identity(t, how.n), T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])).asNondeterministic()(F.col(f"_{names.index(text)}")))
+    first = found.where("a is not null and doc_id = class_id").select(F.col("doc_id").alias("_d"), "a", "b", "class_key").distinct()
+    kept = named.join(first, (key == F.col("_d")) & (F.col("_k.a") == F.col("a")) & (F.col("_k.b") == F.col("b")))
+    kept = kept.groupBy("class_key").agg(F.first(F.struct(*[f"_{i}" for i in range(len(names))])).alias("r")).select("r.*")
+    return single.unionByName(kept).unionByName(named.where("_k.a is null").drop("_k")).toDF(*names)

@@ -584,6 +584,29 @@ def test_jaccard_join_odd_rows(odd, none):
     assert jaccard_join.join(none).count() == 0 and jaccard_join.keep_one(none).count() == 0
 
 
+def test_keep_one_of_repeated_ids(spark):
+    """Unlike texts under one id stay, near and exact copies under one id are one."""
+    one, two, three = prose(301, 60), prose(302, 60), prose(303, 60)
+    near = one.replace(one.split(" ")[30], "changed", 1)
+    rows = [(1, one), (1, two), (1, near), (1, one), (2, two), (3, three), (3, near), (4, None), (4, None), (None, three)]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = Counter((r.doc_id, r.text if r.text in (None, two, three) else "one") for r in kept)
+    assert found == {(1, "one"): 1, (1, two): 1, (3, three): 1, (4, None): 2, (None, three): 1}
+
+
+def test_large_clusters_meet_by_bands(spark):
+    """Chains of near copies far longer than a block: links and classes against brute force."""
+    base = prose(400, 90).split(" ")
+    texts = []
+    for k in range(60):  # each differs from the one before in a word, so ends of the chain have little in common
+        base[(k * 7) % len(base)] = f"w{k}"
+        texts.append(" ".join(base))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in jaccard_join.join(df, jaccard_join.Join(block=4)).collect()}
+    links, classes = brute_links(texts)
+    assert [got[k].n_links for k in range(60)] == links and [got[k].class_id for k in range(60)] == classes
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     how = jaccard_join.Join()
     least = jaccard_join.least_agreements(how)

@@ -74,7 +74,7 @@ def test_hub_in_parts(spark, monkeypatch):
     pages = [(h, html[k], "allow" if k == 0 else "block" if k in (3, 4) else None) for k, h in enumerate(hosts)]
     df = spark.createDataFrame(pages, "host string, html string, ruled_verdict string")
     monkeypatch.setattr(link_rank, "HUB", 3)
-    got = {r.host: r for r in link_rank.host_scores(df).collect()}
+    got = {r.host: r for r in link_rank.host_scores(df, link_rank.Spread(tolerance=1e-3, cut=8)).collect()}
     trust = solved([1.0, *[0.0] * 12], links, 0.85)
     distrust = solved([float(k in (3, 4)) for k in range(13)], [(b, a) for a, b in links], 0.85)
-    assert np.allclose([got[h].trust for h in hosts], trust, atol=1e-5) and np.allclose([got[h].distrust for h in hosts], distrust, atol=1e-5)
+    assert np.allclose([got[h].trust for h in hosts], trust, atol=2e-3) and np.allclose([got[h].distrust for h in hosts], distrust, atol=2e-3)
