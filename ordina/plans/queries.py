@@ -351,7 +351,7 @@ def _whole(t):
 @add("clu01_consensus_boundaries", "track t:d mix:d stem:d repetition:d section:d confidence:d", CLUSTER_SQL.replace("{tolerance}", "0.4") + """,
  a AS (SELECT track, g, sum(t * greatest(0.1, confidence)) / sum(greatest(0.1, confidence)) AS t, coalesce(max(confidence) FILTER (kind = 'mix'), 0) AS mix, coalesce(max(confidence) FILTER (kind = 'stem'), 0) AS stem,
   coalesce(max(confidence) FILTER (kind = 'repetition'), 0) AS repetition, coalesce(max(confidence) FILTER (kind = 'section'), 0) AS section, count(DISTINCT kind) AS n FROM c GROUP BY ALL)
- SELECT track, t, mix, stem, repetition, section, greatest(0.18, least(1, (mix + stem + repetition + section) / n * (0.58 + 0.14 * (n - 1)) + 0.08 * (n - 1))) AS confidence FROM a WHERE t >= 3 AND t <= 20""")
+ SELECT track, t, mix, stem, repetition, section, greatest(0.18, least(1, (mix + stem + repetition + section) / n * (0.58 + 0.14 * (n - 1)) + 0.08 * (n - 1))) AS confidence FROM a JOIN (SELECT track, count(*) * 0.31 AS duration_s FROM {ticks} GROUP BY track) USING (track) WHERE t >= 3 AND t <= duration_s - 3""")
 def _(t, spark, sf):
     marks, key, end = _whole(t)
     return boundaries.consensus_boundaries(marks, key, end, 0.4)
@@ -363,7 +363,7 @@ def _(t, spark, sf):
 
 
 @add("prj05_reviewed_boundaries", "track t:d", """
- WITH r AS (SELECT track, t FROM {marks} WHERE track % 2 = 0 AND t > 0 AND t < 9),
+ WITH r AS (SELECT track, t FROM {marks} JOIN (SELECT track, count(*) * 0.31 AS duration_s FROM {ticks} GROUP BY track) USING (track) WHERE track % 2 = 0 AND t > 0 AND t < duration_s),
  a AS (SELECT track, t, row_number() OVER (PARTITION BY track ORDER BY confidence DESC, t) AS k FROM {marks} WHERE track NOT IN (SELECT track FROM r)) SELECT track, t FROM r UNION ALL SELECT track, t FROM a WHERE k <= 2""")
 def _(t, spark, sf):
     marks, key, end = _whole(t)
@@ -371,8 +371,8 @@ def _(t, spark, sf):
 
 
 @add("prj06_sections", "track start_s:d end_s:d label", """
- WITH e AS (SELECT track, t FROM {marks} WHERE t > 0 AND t < 30 AND frame_idx % 6 = 0), z AS (SELECT * FROM e UNION ALL SELECT DISTINCT track, 0 FROM e),
- s AS (SELECT track, t AS start_s, coalesce(lead(t) OVER w, 30) AS end_s, row_number() OVER w AS k, count(*) OVER (PARTITION BY track) AS n FROM z WINDOW w AS (PARTITION BY track ORDER BY t))
+ WITH n AS (SELECT track, count(*) * 0.31 AS duration_s FROM {ticks} GROUP BY track), e AS (SELECT track, t, duration_s FROM {marks} JOIN n USING (track) WHERE t > 0 AND t < duration_s), z AS (SELECT * FROM e UNION ALL SELECT DISTINCT track, 0, duration_s FROM {marks} JOIN n USING (track)),
+ s AS (SELECT track, t AS start_s, coalesce(lead(t) OVER w, duration_s) AS end_s, row_number() OVER w AS k, count(*) OVER (PARTITION BY track) AS n FROM z WINDOW w AS (PARTITION BY track ORDER BY t))
  SELECT track, start_s, end_s, CASE WHEN k = 1 AND end_s - start_s < 24 THEN 'Opening' WHEN k = n AND end_s - start_s < 28 THEN 'Ending' ELSE 'Section ' || k END AS label FROM s""")
 def _(t, spark, sf):
     return boundaries.sections(*_whole(t))
@@ -458,12 +458,17 @@ def _(t, spark, sf):
     return structure.tempo_set(t("marks").withColumn("bpm", F.lit(120.0)), KEY, "bpm", "t")
 
 
-FEATURES_SQL = """
- WITH f AS (SELECT track, frame_idx, list_transform(embedding[1:6], lambda x: x::DOUBLE) AS x FROM {vectors} WHERE least(frame_idx, 40) < 40),
- u AS (SELECT track, frame_idx, unnest(range(1, 7)) AS d, unnest(x) AS v FROM f), m AS (SELECT track, d, avg(v) AS a, stddev_pop(v) AS s FROM u GROUP BY ALL),
- z AS (SELECT track, frame_idx, list((v - a) / CASE WHEN s > 1e-12 THEN s ELSE 1 END ORDER BY d) AS x FROM u JOIN m USING (track, d) GROUP BY ALL),
- profile AS (SELECT a.track, CAST(b.frame_idx - a.frame_idx AS INT) AS lag_frames, avg(list_cosine_similarity(a.x, b.x)) AS similarity, count(*) AS support FROM z a JOIN z b ON a.track = b.track AND b.frame_idx > a.frame_idx AND b.frame_idx - a.frame_idx <= 12 GROUP BY ALL)
-"""
+def _scaled(name: str, part: str = "") -> str:
+    """Common tables: all frames, standardised, of a part of the components (all without one), and the profile of their lags."""
+    return f"""
+ f_{name} AS (SELECT track, frame_idx, list_transform(embedding{part}, lambda x: x::DOUBLE) AS x FROM {{vectors}}),
+ u_{name} AS (SELECT track, frame_idx, unnest(range(1, len(x) + 1)) AS d, unnest(x) AS v FROM f_{name}), m_{name} AS (SELECT track, d, avg(v) AS a, stddev_pop(v) AS s FROM u_{name} GROUP BY ALL),
+ z_{name} AS (SELECT track, frame_idx, list((v - a) / CASE WHEN s > 1e-12 THEN s ELSE 1 END ORDER BY d) AS x FROM u_{name} JOIN m_{name} USING (track, d) GROUP BY ALL),
+ {name} AS (SELECT a.track, CAST(b.frame_idx - a.frame_idx AS INT) AS lag_frames, avg(list_cosine_similarity(a.x, b.x)) AS similarity, count(*) AS support FROM z_{name} a JOIN z_{name} b ON a.track = b.track AND b.frame_idx > a.frame_idx AND b.frame_idx - a.frame_idx <= 12 GROUP BY ALL)"""
+
+
+FEATURES_SQL = f" WITH {_scaled('profile')} "
+PLAIN_SQL = "f AS (SELECT track, frame_idx, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM {vectors})"
 
 
 def _features(t, low: int = 1, n: int | None = None):
@@ -472,7 +477,7 @@ def _features(t, low: int = 1, n: int | None = None):
     return t("vectors").select("track", "frame_idx", F.slice("embedding", F.lit(low), n).cast("array<double>").alias("features"))
 
 
-@add("agg12_zscore", "track frame_idx first:d", FEATURES_SQL + "SELECT track, frame_idx, x[1] AS first FROM z")
+@add("agg12_zscore", "track frame_idx first:d", FEATURES_SQL + "SELECT track, frame_idx, x[1] AS first FROM z_profile")
 def _(t, spark, sf):
     return structure.zscore(_features(t), KEY).withColumn("first", F.col("features")[0])
 
@@ -482,20 +487,15 @@ def _(t, spark, sf):
     return structure.lag_profile(_features(t), KEY, 1, 12)
 
 
-@add("agg11_combined_views", "track lag_frames combined_similarity:d support", FEATURES_SQL.replace("profile AS", "p1 AS") + """,
- f2 AS (SELECT track, frame_idx, list_transform(embedding[7:10], lambda x: x::DOUBLE) AS x FROM {vectors} WHERE least(frame_idx, 40) < 40),
- u2 AS (SELECT track, frame_idx, unnest(range(1, 5)) AS d, unnest(x) AS v FROM f2), m2 AS (SELECT track, d, avg(v) AS a, stddev_pop(v) AS s FROM u2 GROUP BY ALL),
- z2 AS (SELECT track, frame_idx, list((v - a) / CASE WHEN s > 1e-12 THEN s ELSE 1 END ORDER BY d) AS x FROM u2 JOIN m2 USING (track, d) GROUP BY ALL),
- p2 AS (SELECT a.track, CAST(b.frame_idx - a.frame_idx AS INT) AS lag_frames, avg(list_cosine_similarity(a.x, b.x)) AS similarity FROM z2 a JOIN z2 b ON a.track = b.track AND b.frame_idx > a.frame_idx AND b.frame_idx - a.frame_idx <= 12 GROUP BY ALL)
- SELECT track, lag_frames, (p1.similarity * 2 + p2.similarity) / 3 AS combined_similarity, support FROM p1 JOIN p2 USING (track, lag_frames)""")
+@add("agg11_combined_views", "track lag_frames combined_similarity:d support", f""" WITH {_scaled("p1", "[1:6]")}, {_scaled("p2", "[7:]")}
+ SELECT track, lag_frames, (p1.similarity * 2 + p2.similarity) / 3 AS combined_similarity, p1.support FROM p1 JOIN p2 USING (track, lag_frames)""")
 def _(t, spark, sf):
     a = structure.lag_profile(_features(t, 1, 6), KEY, 1, 12).withColumn("view", F.lit("mfcc"))
     b = structure.lag_profile(_features(t, 7), KEY, 1, 12).withColumn("view", F.lit("chroma"))
     return structure.combine_views(a.unionByName(b), KEY, {"mfcc": 2.0, "chroma": 1.0})
 
 
-@add("jn11_similarity_pairs", "track i lag similarity:d", """
- WITH f AS (SELECT track, frame_idx, list_transform(embedding[1:6], lambda x: x::DOUBLE) AS x FROM {vectors} WHERE least(frame_idx, 40) < 40)
+@add("jn11_similarity_pairs", "track i lag similarity:d", " WITH " + PLAIN_SQL + """
  SELECT a.track, a.frame_idx AS i, CAST(b.frame_idx - a.frame_idx AS INT) AS lag, list_cosine_similarity(a.x, b.x) AS similarity FROM f a JOIN f b ON a.track = b.track AND b.frame_idx - a.frame_idx BETWEEN 1 AND 5""")
 def _(t, spark, sf):
     return structure.similarity_pairs(_features(t), KEY, 1, 5)
@@ -650,8 +650,14 @@ def _(t, spark, sf):
     return docs.select("doc_id", F.size("x").alias("n_lines"), F.coalesce(F.array_max(F.transform("x", F.length)), F.lit(0)).alias("longest"))
 
 
-@add("dp01_edit_errors", "conv_id turn errors reference_units", """
- SELECT conv_id, turn, levenshtein(a, b) AS errors, length(a) AS reference_units FROM (SELECT conv_id, turn, substr(text, 1, 40) AS a, substr(lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text), 1, 40) AS b FROM {conversations}) WHERE a IS NOT NULL AND b IS NOT NULL AND a = regexp_replace(a, '[^ -~]', '', 'g') AND b = regexp_replace(b, '[^ -~]', '', 'g')""")
+#: The letters besides ASCII in the conversations. DuckDB's levenshtein counts bytes, so its SQL makes each a control character, of one byte.
+ACCENTED = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+ONE_BYTE = " || ".join(f"chr({c})" for c in [*range(1, 9), 11, 12, *range(14, 32)][: len(ACCENTED)])
+
+
+@add("dp01_edit_errors", "conv_id turn errors reference_units", f"""
+ WITH c AS (SELECT conv_id, turn, translate(text, '{ACCENTED}', {ONE_BYTE}) AS a, translate(lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text), '{ACCENTED}', {ONE_BYTE}) AS b FROM {{conversations}})
+ SELECT conv_id, turn, levenshtein(a, b) AS errors, length(a) AS reference_units FROM c WHERE a IS NOT NULL AND b IS NOT NULL""")
 def _(t, spark, sf):
     from pyspark.sql import Window
 
@@ -728,23 +734,20 @@ def _(t, spark, sf):
     return selection.voicing(t("tones"), KEY)
 
 
-@add("agg13_triangle_summary", "track mean:d median:d max:d pairs", """
- WITH f AS (SELECT track, frame_idx, list_transform(embedding[1:6], lambda x: x::DOUBLE) AS x FROM {vectors} WHERE least(frame_idx, 12) < 12)
+@add("agg13_triangle_summary", "track mean:d median:d max:d pairs", " WITH " + PLAIN_SQL + """
  SELECT track, avg(s) AS mean, median(s) AS median, max(s) AS max, count(*) AS pairs FROM (SELECT a.track, list_cosine_similarity(a.x, b.x) AS s FROM f a JOIN f b ON a.track = b.track AND a.frame_idx < b.frame_idx) GROUP BY track""")
 def _(t, spark, sf):
     return structure.cosine_summary(_features(t), KEY)
 
 
-@add("agg29_block_similarity", "track i similarity:d", """
- WITH f AS (SELECT track, frame_idx, list_transform(embedding[1:6], lambda x: x::DOUBLE) AS x FROM {vectors} WHERE least(frame_idx, 40) < 40),
+@add("agg29_block_similarity", "track i similarity:d", " WITH " + PLAIN_SQL + """,
  p AS (SELECT a.track, a.frame_idx AS i, list_cosine_similarity(a.x, b.x) AS s FROM f a JOIN f b ON a.track = b.track AND b.frame_idx = a.frame_idx + 5),
  w AS (SELECT track, i, avg(s) OVER (PARTITION BY track ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS similarity FROM p) SELECT f.track, f.frame_idx AS i, coalesce(w.similarity, -1) AS similarity FROM f LEFT JOIN w ON w.track = f.track AND w.i = f.frame_idx""")
 def _(t, spark, sf):
     return structure.block_similarity(_features(t), KEY, 5, 4)
 
 
-@add("dsp16_template_similarity", "track start similarity:d", """
- WITH f AS (SELECT track, frame_idx, list_transform(embedding[1:6], lambda x: x::DOUBLE) AS x FROM {vectors} WHERE least(frame_idx, 40) < 40)
+@add("dsp16_template_similarity", "track start similarity:d", " WITH " + PLAIN_SQL + """
  SELECT b.track, b.frame_idx - a.frame_idx + 3 AS start, avg(list_cosine_similarity(a.x, b.x)) AS similarity FROM f a JOIN f b ON a.track = b.track AND a.frame_idx BETWEEN 3 AND 6 GROUP BY b.track, b.frame_idx - a.frame_idx HAVING count(*) = 4""")
 def _(t, spark, sf):
     return selection.template_similarity(_features(t), KEY, 3, 4)
