@@ -37,7 +37,10 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to these sizes; smaller ones stay."""
+    """Lower the session's Arrow batches to these sizes; smaller ones stay.
+
+    They stay so: plans are lazy, so what is built here may run at any later time.
+    """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = re.fullmatch(r"(\d+)b?", spark.conf.get(key), re.IGNORECASE)
         if not now or not 0 < int(now[1]) <= most:
@@ -60,9 +63,11 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The shared folder of spark.checkpoint.dir; where it is unset and all runs in one process (tests), one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='ordina-')}"
         atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)

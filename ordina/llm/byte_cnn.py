@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training(), id: st
     counts = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
-    rows = sample(marks, "id", "label", 2, how.per_class)
+    rows = sample(marks, "id", "label", how.per_class, 2 * how.per_class)
     texts = pick(docs, doc_id=id, text=text).where(F.col("text").isNotNull() & (F.octet_length("text") <= how.most_bytes))
     found = texts.join(F.broadcast(rows), F.col("doc_id") == F.col("id")).select("doc_id", "text", "label").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     y = found.column("label").to_numpy()

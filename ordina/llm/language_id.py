@@ -8,7 +8,9 @@ scores, and a threshold on them rejects doubtful texts.
 
 Defined cases: null text, or text without a letter: `und`, score 0, rejected. Null labels
 and null ids are never learned from. Nothing to learn from: all `und`. Repeated rows are
-each predicted. Texts are whole, however long.
+each predicted. Texts are whole, however long. Of languages that score alike, the first in
+alphabetical order is told. An empty table gives an empty result. Columns other than id, text and
+lang are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,10 +38,10 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Training:
-    """The sample is at most per_language documents of each of the languages most frequent labels."""
+    """The sample is about per_language documents of every language, fewer where that would be more than documents in all."""
 
-    languages: int = 64
     per_language: int = 600
+    documents: int = 12_000
     dimensions: int = 16
     epochs: int = 12
     rate: float = 4.0
@@ -150,7 +152,7 @@ def train(docs: DataFrame, how: Training = Training(), id: str = "doc_id", text:
     """Learns from the rows outside the held-out fold; None if no row has a text and a label."""
     rows = pick(docs, id=id, text=text, lang=lang).where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
     kind = T.StructType([T.StructField("at", T.ArrayType(T.IntegerType(), False), False), T.StructField("share", T.ArrayType(T.FloatType(), False), False)])
-    chosen = sample(rows, "id", "lang", how.languages, how.per_language)
+    chosen = sample(rows, "id", "lang", how.per_language, how.documents)
     found = chosen.select("lang", F.arrow_udf(_counts, kind)("text").alias("x")).select("lang", "x.at", "x.share").toArrow()
     if not found.num_rows:
         return None
