@@ -1,7 +1,11 @@
 """A training corpus out of the table documents: filter, deduplicate, pack.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but
-the last return the columns of docs; the last returns the pieces of the packed sequences.
+the last return the columns of docs, of whatever names; the last returns the pieces of the packed
+sequences. In every stage a null or empty text is a document without words: the rules reject it, all
+other stages would keep it as it is. Repeated rows are alike to the first two stages, one document
+to the third; a null id is no reason to go. Texts are whole, however long. Ties (equal ids of one
+class) leave one row. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ordina.llm import best_fit, byte_cnn, jaccard_join, quality_rules, suffix_dedup
-from ordina.llm._store import durable
+from ordina.llm._store import durable, forget
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +58,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if before is not None:
+            forget(spark, before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
