@@ -61,9 +61,8 @@ def nearest(queries: DataFrame, grid: DataFrame, key: Key, time: str, place: str
     fields = F.struct(place, *columns)
     both = queries.select(*key, F.col(time).alias("_t"), F.struct(*[c for c in queries.columns if c not in key]).alias("_q"), F.lit(None).cast(grid.select(fields.alias("g")).schema["g"].dataType).alias("_g"))
     both = both.unionByName(grid.select(*key, F.col(place).alias("_t"), F.lit(None).cast(both.schema["_q"].dataType).alias("_q"), fields.alias("_g")))
-    order = Window.partitionBy(*key).orderBy("_t")
-    last = F.last("_g", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    first = F.first("_g", ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    # both look back, one in falling order: a frame that grows is kept up, one that shrinks is read anew for each row
+    last, first = (F.last("_g", ignorenulls=True).over(Window.partitionBy(*key).orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow)) for o in (F.asc("_t"), F.desc("_t")))
     found = both.withColumns({"_l": last, "_f": first}).where("_q is not null")
     before, after = F.col("_t") - F.col(f"_l.{place}"), F.col(f"_f.{place}") - F.col("_t")
     left_wins = before < after if later_on_tie else before <= after

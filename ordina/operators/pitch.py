@@ -217,8 +217,11 @@ def movements(frames: DataFrame, key: Key, *, window_s: float = 0.30, min_slope:
     points = pitch_points(frames, key).withColumn("cents", hz_to_cents(F.col("f0_hz")))
     w = Window.partitionBy(*key).orderBy("time_s")
     points = points.withColumns({"_i": F.row_number().over(w), "_gap": F.coalesce(F.col("time_s") - F.lag("time_s").over(w), F.lit(0.0))})
-    ahead = F.expr(f"min(time_s) OVER (PARTITION BY {', '.join(f'`{k}`' for k in key)} ORDER BY time_s RANGE BETWEEN {window_s!r}D FOLLOWING AND UNBOUNDED FOLLOWING)")
-    starts = points.withColumn("_end", ahead).where("_end is not null").select(*key, F.col("_i").alias("_from"), F.col("time_s").alias("_start"), "_end")
+    # the first frame at or after each window's end: in falling order, the last frame passed
+    ends = points.select(*key, F.col("_i").alias("_from"), F.col("time_s").alias("_start"), (F.col("time_s") + window_s).alias("_t"), F.lit(None).cast("double").alias("_at"))
+    ends = ends.unionByName(points.select(*key, F.lit(None).cast("int").alias("_from"), F.lit(None).cast("double").alias("_start"), F.col("time_s").alias("_t"), F.col("time_s").alias("_at")))
+    passed = F.last("_at", ignorenulls=True).over(Window.partitionBy(*key).orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    starts = ends.withColumn("_end", passed).where("_from is not null and _end is not null").drop("_t", "_at")
     # windows cover their own second of time and the next: an equi join on it keeps the range join local
     bucket = max(1.0, 2 * window_s)
     starts = starts.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_start") / bucket), F.floor(F.col("_end") / bucket))))

@@ -103,25 +103,39 @@ def _snap(cuts: DataFrame, key: Key, edge: str, grids: dict[str, tuple[DataFrame
     return out
 
 
-def align_cuts(cuts: DataFrame, beats: DataFrame, bars: DataFrame, key: Key, bpm: float | None, mode: str = "recommended", low_energy: bool = False) -> DataFrame:
-    """Cuts (cut_id, start, end) moved to the nearest bar, else beat ("bar", "beat" alone, or "exact"); kept as they are if the end would not follow the start by 0.02 s.
+def align_cuts(cuts: DataFrame, beats: DataFrame, bars: DataFrame, key: Key, bpm: float | None, mode: str = "recommended", low_energy: bool = False, phrases: DataFrame | None = None) -> DataFrame:
+    """Cuts (cut_id, start, end) moved to the nearest bar, else beat ("bar", "beat" alone), vocal phrase boundary ("vocal", phrases: time_s) or quiet place ("low-energy"); or "exact".
 
-    With low_energy, cut rows bring start_low, start_drop_db, end_low, end_drop_db; an edge without bar or beat goes there if the level drops 4 dB.
+    An alignment whose end would not follow its start by 0.02 s is no alignment. With low_energy (and in its own mode) cut rows bring
+    the two quiet places: start_low, start_drop_db, end_low, end_drop_db. "recommended" takes one for an edge that stayed exact if it is more
+    than 5 ms away and the level drops 4 dB, and if the range stays valid; else the range of bars and beats stays.
     """
     period = 60 / bpm if bpm else 0.5
     grids = {"bar": (bars, max(0.35, period * 1.4)), "beat": (beats, max(0.12, period * 0.42))}
-    grids = {k: v for k, v in grids.items() if mode in (k, "recommended")}
-    out = cuts
-    for edge in ("start", "end"):
+    grids = {k: v for k, v in grids.items() if mode in (k, "recommended")} | ({"vocal": (phrases, 0.9)} if mode == "vocal" and phrases is not None else {})
+    out, edges = cuts, ("start", "end")
+    for edge in edges:
         out = _snap(out, key, edge, grids, ["cut_id"])
-    for edge in ("start", "end"):
-        options = [(F.col(f"_{edge}_{k}"), k) for k in grids]
-        low = [(F.when(F.col(f"{edge}_drop_db") >= 4, F.col(f"{edge}_low")), "low-energy")] if low_energy and mode == "recommended" else []
-        time = F.coalesce(*[c for c, _ in options + low], F.col(edge))
-        kind = F.coalesce(*[F.when(c.isNotNull(), k) for c, k in options + low], F.lit("exact"))
-        out = out.withColumns({f"_{edge}_time": time, f"{edge}_kind": kind})
-    good = F.col("_end_time") > F.col("_start_time") + 0.02
-    return out.select(*key, "cut_id", *[F.when(good, F.col(f"_{e}_time")).otherwise(F.col(e)).alias(e) for e in ("start", "end")], *[F.when(good, F.col(f"{e}_kind")).otherwise("exact").alias(f"{e}_kind") for e in ("start", "end")])
+    follows = lambda name: F.col(f"_end{name}") > F.col(f"_start{name}") + 0.02
+
+    def settle(out: DataFrame, name: str, times: dict[str, Column], kinds: dict[str, Column], before: dict[str, tuple[Column, Column]]) -> DataFrame:
+        """Columns _<edge><name> and _<edge><name>_kind: the new range if it is valid, else the one before."""
+        out = out.withColumns({f"_{e}{name}": times[e] for e in edges} | {f"_{e}{name}_kind": kinds[e] for e in edges}).withColumn("_good", F.coalesce(follows(name), F.lit(False)))
+        return out.withColumns({f"_{e}{name}{k}": F.when(F.col("_good"), F.col(f"_{e}{name}{k}")).otherwise(before[e][j]) for e in edges for j, k in enumerate(("", "_kind"))})
+
+    raw = {e: (F.col(e), F.lit("exact")) for e in edges}
+    hits = {e: [(F.col(f"_{e}_{k}"), k) for k in grids] for e in edges}
+    out = settle(out, "_grid", {e: F.coalesce(*[c for c, _ in hits[e]], F.col(e)) for e in edges}, {e: F.coalesce(*[F.when(c.isNotNull(), k) for c, k in hits[e]], F.lit("exact")) for e in edges}, raw)
+    last = "_grid"
+    if mode == "low-energy" or (low_energy and mode == "recommended"):
+        quiet = {e: F.when(F.abs(F.col(f"{e}_low") - F.col(e)) > 0.005, "low-energy").otherwise("exact") for e in edges}
+        out = settle(out, "_low", {e: F.col(f"{e}_low") for e in edges}, quiet, raw)
+        last = "_low"
+    if mode == "recommended" and low_energy:
+        taken = {e: (F.col(f"_{e}_grid_kind") == "exact") & (F.col(f"_{e}_low_kind") == "low-energy") & (F.col(f"{e}_drop_db") >= 4) for e in edges}
+        out = settle(out, "_best", {e: F.when(taken[e], F.col(f"_{e}_low")).otherwise(F.col(f"_{e}_grid")) for e in edges}, {e: F.when(taken[e], "low-energy").otherwise(F.col(f"_{e}_grid_kind")) for e in edges}, {e: (F.col(f"_{e}_grid"), F.col(f"_{e}_grid_kind")) for e in edges})
+        last = "_best"
+    return out.select(*key, "cut_id", *[F.col(f"_{e}{last}").alias(e) for e in edges], *[F.col(f"_{e}{last}_kind").alias(f"{e}_kind") for e in edges])
 
 
 def low_energy_time(cuts: DataFrame, levels: DataFrame, key: Key, time: str, radius_s: float = 0.35) -> DataFrame:

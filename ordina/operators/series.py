@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,18 +70,23 @@ def fill_gaps(df: DataFrame, key: Key, time: str, active: str, most: int) -> Dat
 def decimate(df: DataFrame, key: Key, time: str, columns: Sequence[str], hop_s: float) -> DataFrame:
     """Keeps the first row and then each one that lies hop_s or more after the last kept (1e-12 of slack).
 
-    Each choice depends on the one before: a fold over the ordered rows of a series.
+    Each choice depends on the one before, so a series is walked in order, from one kept row to the next by
+    binary search. Rows without a time go.
     """
     if hop_s <= 0:
         raise ValueError("hop_s must be positive")
-    rows = F.array_sort(F.collect_list(F.struct(time, *[c for c in columns if c != time])))
-
-    def step(done: Column, row: Column) -> Column:
-        return F.when((F.size(done) == 0) | (row[time] + 1e-12 >= F.element_at(done, -1)[time] + hop_s), F.concat(done, F.array(row))).otherwise(done)
-
-    kept = df.groupBy(*key).agg(rows.alias("_rows"))
-    kept = kept.withColumn("_kept", F.aggregate("_rows", F.slice("_rows", 1, 0), step))
-    return kept.select(*key, F.explode("_kept").alias("_row")).select(*key, "_row.*")
+    names = list(dict.fromkeys([time, *columns]))
+
+    def walk(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in names])
+        t, kept, at = rows.column(time).to_numpy() + 1e-12, [], 0
+        while at < len(t):
+            kept.append(at)
+            at = max(at + 1, int(np.searchsorted(t, rows.column(time)[at].as_py() + hop_s)))
+        return rows.take(pa.array(kept, pa.int64()))
+
+    some = df.where(F.col(time).isNotNull()).select(*key, *[c for c in names if c not in key])
+    return some.groupBy(*key).applyInArrow(walk, some.schema)
 
 
 def suppress(df: DataFrame, key: Key, score: str, place: str, separation: Column | float, columns: Sequence[str], top: int | None = None, best_first: Sequence[Column] | None = None, strict: bool = True, near: Callable[[Column, Column], Column] | None = None) -> DataFrame:

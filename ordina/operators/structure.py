@@ -278,6 +278,7 @@ def repetition_pairs(features: DataFrame, candidates: DataFrame, key: Key, *, st
     """Pairs of repeated blocks for the best four periods: peaks of block similarity over a robust threshold.
 
     candidates: lag_frames, similarity and pick (from 0). At most three per period, block apart; then duplicates within 2 s of a better pair go; eight stay.
+    A frame stands for the middle of a window of two steps, so frame i begins at (i + 1/2) steps, and n frames last n + 1 steps.
     """
     from ordina.operators.series import robust_threshold
 
@@ -291,10 +292,11 @@ def repetition_pairs(features: DataFrame, candidates: DataFrame, key: Key, *, st
     sims = sims.join(n, list(key)).where(F.col("i") + F.col("lag") + block < F.col("_n"))
     limit = robust_threshold(sims, by, "similarity", 0.08, 1.7, 0.03).withColumn("threshold", F.least(F.lit(0.92), F.greatest(F.lit(0.5), F.col("threshold"))))
     peaks = local_maxima(sims, by, "i", "similarity").join(limit, by).where("similarity >= threshold")
-    chosen = suppress(peaks, by, "similarity", "i", float(block), ["period_similarity", "threshold"], 3)
+    chosen = suppress(peaks, by, "similarity", "i", float(block), ["period_similarity", "threshold", "_n"], 3)
     rest = (F.col("similarity") - F.col("threshold")) / F.greatest(F.lit(0.08), 1 - F.col("threshold"))
     confidence = clamp(0.42 + rest * 0.5 + F.greatest(F.lit(0.0), F.col("period_similarity")) * 0.12, 0.25, 1.0)
-    pairs = chosen.withColumns({"a_start": F.col("i") * step_s, "b_start": (F.col("i") + F.col("lag")) * step_s, "lag_s": F.col("lag") * step_s, "confidence": confidence})
+    pairs = chosen.withColumns({"a_start": (F.col("i") + 0.5) * step_s, "b_start": (F.col("i") + F.col("lag") + 0.5) * step_s, "duration_s": (F.col("_n") + 1) * step_s, "lag_s": F.col("lag") * step_s, "confidence": confidence})
     near = lambda x, y: (F.abs(x["a_start"] - y["a_start"]) < 2) & (F.abs(x["b_start"] - y["b_start"]) < 2)
-    best = suppress(pairs.drop("pick"), key, "confidence", "a_start", 2.0, ["b_start", "lag_s", "similarity", "period_similarity"], 8, best_first=[-F.col("similarity")], near=near)
-    return best.select(*key, "a_start", (F.col("a_start") + block * step_s).alias("a_end"), "b_start", (F.col("b_start") + block * step_s).alias("b_end"), "lag_s", "similarity", "period_similarity", "confidence")
+    best = suppress(pairs.drop("pick"), key, "confidence", "a_start", 2.0, ["b_start", "lag_s", "similarity", "period_similarity", "duration_s"], 8, best_first=[-F.col("similarity")], near=near)
+    end = lambda c: F.least("duration_s", F.col(c) + block * step_s)
+    return best.select(*key, "a_start", end("a_start").alias("a_end"), "b_start", end("b_start").alias("b_end"), "lag_s", "similarity", "period_similarity", "confidence")

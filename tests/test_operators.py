@@ -210,6 +210,9 @@ def test_repetition(spark):
     best = structure.period_candidates(profile, KEY, "similarity", 5, 4)
     pairs = structure.repetition_pairs(structure.zscore(df, KEY), best, KEY, step_s=0.5, block=11).collect()
     assert pairs and max(pairs, key=lambda r: r.similarity).lag_s == 16.0
+    first = min(pairs, key=lambda r: r.a_start)
+    # a frame's time is the middle of a window of two steps, less half a step
+    assert all(math.isclose((r.a_start / 0.5) % 1, 0.5) and math.isclose(r.b_start - r.a_start, r.lag_s) and math.isclose(r.a_end - r.a_start, 5.5) and r.b_end <= 32.5 for r in pairs) and first.a_start >= 0.25
     blocks = structure.block_similarity(df, KEY, 32, 8).orderBy("i").collect()
     assert math.isclose(blocks[0].similarity, 1.0) and blocks[-1].similarity == -1.0
 
@@ -234,6 +237,40 @@ def test_beat_grid(spark):
     assert (kept.start, kept.end, kept.start_kind) == (3.08, 3.09, "exact")
 
 
+def test_cut_modes(spark):
+    """The quiet place is taken edge by edge, and never at the price of the range of bars and beats."""
+    grid = lambda *t: frame(spark, time_s=list(t))
+    low = dict(start_low=[3.2], start_drop_db=[9.0], end_low=[9.3], end_drop_db=[9.0])
+    cut = lambda start, end, **more: frame(spark, cut_id=[1], start=[start], end=[end], **(low | more))
+    edges = lambda r: (round(r.start, 6), round(r.end, 6), r.start_kind, r.end_kind)
+    run = lambda c, beats, mode, **more: edges(one(rhythm.align_cuts(c, beats, grid(100.0), KEY, 120.0, mode, **more)))
+    assert run(cut(3.08, 9.02), grid(3.0), "recommended", low_energy=True) == (3.0, 9.3, "beat", "low-energy")
+    assert run(cut(3.08, 9.02, end_drop_db=[3.9]), grid(3.0), "recommended", low_energy=True) == (3.0, 9.02, "beat", "exact")
+    # the quiet end lies before the start that the beat gives: the beat stays
+    assert run(cut(3.08, 3.3, start_low=[2.9], end_low=[2.95]), grid(3.0), "recommended", low_energy=True) == (3.0, 3.3, "beat", "exact")
+    # 4 ms away is no other place
+    assert run(cut(3.08, 9.02, end_low=[9.024]), grid(50.0), "recommended", low_energy=True) == (3.2, 9.02, "low-energy", "exact")
+    assert run(cut(3.08, 9.02), grid(3.0), "low-energy") == (3.2, 9.3, "low-energy", "low-energy")
+    assert run(cut(3.08, 9.02, end_low=[3.21]), grid(3.0), "low-energy") == (3.08, 9.02, "exact", "exact")
+    assert run(cut(3.08, 9.02), grid(3.0), "vocal", phrases=grid(2.5, 9.5, 11.0)) == (2.5, 9.5, "vocal", "vocal")
+    assert run(cut(3.08, 9.02), grid(3.0), "vocal", phrases=grid(6.0)) == (3.08, 9.02, "exact", "exact")
+
+
+def test_long_series(spark):
+    """30,000 rows in one series: work in proportion, not with the square."""
+    import time
+
+    n = 30_000
+    rows = spark.range(n).select(F.lit("t").alias("track"), (F.col("id") * 0.01).alias("time_s"), F.col("id").alias("frame_idx"), F.lit(220.0).alias("selected_f0_hz"), F.lit(0.9).alias("selected_confidence"))
+    began = time.time()
+    hit = matching.nearest(rows.select("track", "time_s"), rows.where("frame_idx % 10 = 0").select("track", F.col("time_s").alias("at")), KEY, "time_s", "at")
+    assert hit.where("abs(at - time_s) <= 0.0901").count() == n
+    kept = series.decimate(rows, KEY, "time_s", ["frame_idx"], 0.05)
+    assert kept.count() == n // 5 and kept.agg(F.max("frame_idx")).first()[0] == n - 5
+    assert pitch.movements(rows, KEY).count() == 0
+    assert time.time() - began < 60
+
+
 def test_low_energy(spark):
     t = np.round(np.arange(0, 6, 0.01), 2)
     rms = np.where((np.abs(t - 2) < 0.08) | (np.abs(t - 4.1) < 0.08), 0.01, 0.5)
