@@ -487,6 +487,86 @@ def test_byte_cnn_parts_agree():
     assert np.allclose(whole, alone, atol=1e-5)
 
 
+def slow_score(text: bytes, net: byte_cnn.Net) -> float:
+    """The network's forward pass, byte by byte."""
+    blocks = -(-(len(text) + byte_cnn.WIDTH) // byte_cnn.BLOCK)
+    padded = text + bytes(blocks * byte_cnn.BLOCK + byte_cnn.WIDTH - len(text))
+    maxima = []
+    for b in range(blocks):
+        rows = []
+        for at in range(b * byte_cnn.BLOCK, (b + 1) * byte_cnn.BLOCK, byte_cnn.STRIDE):
+            window = np.concatenate([net.embed[c] for c in padded[at : at + byte_cnn.WIDTH]])
+            rows.append(window @ net.conv)
+        maxima.append(np.maximum(np.max(rows, axis=0) + net.bias, 0))
+    chunks = [np.maximum(maxima[k], maxima[k + 1]) for k in range(blocks - 1)] or [maxima[0]]
+    x = np.concatenate([np.max(chunks, axis=0), np.mean(chunks, axis=0), np.min(chunks, axis=0)])
+    return float(1 / (1 + np.exp(-(x @ net.out + net.base[0]))))
+
+
+def test_byte_cnn_against_loops():
+    rng = np.random.default_rng(7)
+    dims = 4
+    net = byte_cnn.Net(*(rng.standard_normal(s).astype(np.float32) * 0.3 for s in ((256, dims), (byte_cnn.WIDTH * dims, 5), (5,), (15,), (1,))))
+    texts = ["", "a", "é" * 100, prose(1, 300), "x" * byte_cnn.BLOCK, "y" * (3 * byte_cnn.BLOCK + 1)]
+    got = np.concatenate([byte_cnn.score(t, net) for t in _text.parts(pa.array(texts))])
+    assert np.allclose(got, [slow_score(t.encode(), net) for t in texts], atol=1e-4)
+
+
+def test_subwords_against_loops():
+    """Buckets of all byte trigrams and all words of each text, none across texts."""
+    texts = ["", "ab", "abc", "The cat. the CAT", "é日本 x", "a" * 500, " \t"]
+    tri, n_tri, words, n_words = language_id.subwords(next(_text.parts(pa.array(texts))))
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in t.encode()) for t in texts]
+    assert n_tri.tolist() == [max(0, len(t) - 2) for t in low] and n_words.tolist() == [len(words_of) for words_of in map(words_in, low)]
+    code = lambda a, b, c: ((a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) * 0x27D4EB2F & 0xFFFFFFFF) >> 20
+    assert tri.tolist() == [code(*t[k : k + 3]) for t in low for k in range(len(t) - 2)]
+    names = [w for t in low for w in words_in(t)]
+    bucket = dict(zip(names, words.tolist()))
+    assert [bucket[w] for w in names] == words.tolist() and all(language_id.TRIGRAMS <= b < language_id.BUCKETS for b in words.tolist())
+
+
+def words_in(text: bytes) -> list[bytes]:
+    return re.findall(rb"[^\x20\x09-\x0D]+", text)
+
+
+def test_language_prediction_and_rejection():
+    """Logits are the average of the subwords' rows; a score below the calibrated one is rejected."""
+    rng = np.random.default_rng(0)
+    model = language_id.Model(("a", "b", "c"), rng.standard_normal((language_id.BUCKETS, 3)).astype(np.float32) * 3, np.array([0.1, 0, -0.1], np.float32), 1.5, 0.6)
+    texts = [prose(k, 1 + 3 * k) for k in range(12)]
+    got = language_id._predict(pa.array([*texts, None, "12 3", ""]), model).to_pylist()
+    for text, r in zip(texts, got):
+        tri, _, words, _ = language_id.subwords(next(_text.parts(pa.array([text]))))
+        z = (model.logits[[*tri, *words]].mean(axis=0) + model.bias) / model.temperature
+        q = np.exp(z) / np.exp(z).sum()
+        assert r["lang_pred"] == "abc"[int(q.argmax())] and np.isclose(r["score"], q.max(), atol=1e-5) and r["rejected"] == bool(q.max() < 0.6)
+    assert all((r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True) for r in got[len(texts) :])
+
+
+def test_rejection_is_calibrated():
+    """Among rows that calibration keeps, the asked share is right, although a fifth of the labels are wrong."""
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 3, 900)
+    x = np.zeros((900, language_id.BUCKETS), np.float32)
+    plain = rng.random(900) < 0.2  # rows that tell nothing of their label
+    for i, k in enumerate(y):
+        x[i, rng.choice(30, 8) + (100 if plain[i] else 200 + 30 * k)] += 1 / 8
+    model = language_id.fit(x[:600], y[:600], ("a", "b", "c"), language_id.Training(precision=0.95))
+    p = language_id.softmax((x[600:] @ model.logits + model.bias) / model.temperature)
+    kept = p.max(axis=1) >= model.least_score
+    assert (p.argmax(axis=1) == y[600:])[kept].mean() >= 0.9 and kept[~plain[600:]].mean() > 0.7 and kept[plain[600:]].mean() < 0.4
+
+
+def test_every_language_is_learned(spark):
+    """A rare language among many is told too; the sample is bounded in all."""
+    kinds = {f"l{k}": [f"{c}{d}" for c in "bcdfgh" for d in "aeiou"][k % 25 : k % 25 + 4] + [chr(0x250 + k) * 2] for k in range(80)}
+    rng = random.Random(3)
+    rows = [(k, " ".join("".join(rng.choices(kinds[v], k=3)) for _ in range(25)), v) for k in range(1200) for v in [f"l{k % 80}"]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, language_id.Training(documents=800, epochs=2))
+    assert model.labels == tuple(sorted(kinds))
+
+
 # --- 9
 
 
@@ -640,15 +720,50 @@ def test_components(spark):
 
 
 def test_stages(spark, odd, none, tmp_path):
+    """Each stage against what its operator's brute-force version says of the odd rows."""
     labels = spark.createDataFrame([(k, int(k % 2), 0) for k in range(18)], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
-    assert len(corpus_pipeline.STAGES) == 5
-    for docs in (odd, none):
-        for name, stage in corpus_pipeline.STAGES:
-            out = stage(spark, docs, str(tmp_path))
-            assert out.count() >= 0
-            if name != "best-fit packing":
-                assert out.columns == docs.columns
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "quality rules", "n-gram Jaccard join", "suffix-array dedup", "best-fit packing"]
+    stage = {n: lambda docs, f=f: f(spark, docs, str(tmp_path)) for n, f in corpus_pipeline.STAGES}
+    out = {n: f(odd) for n, f in stage.items()}
+    for name, f in stage.items():
+        if name != "best-fit packing":
+            assert out[name].schema == odd.schema and f(none).schema == none.schema
+        assert f(none).count() == 0
+    rows = odd.collect()
+    as_is = Counter(tuple(r) for r in rows)
+    kept = {n: Counter(tuple(r) for r in out[n].collect()) for n in list(stage)[:-1]}
+    net = byte_cnn.train(odd, labels)
+    scores = {r.text or "": float(byte_cnn.score(next(_text.parts(pa.array([r.text or ""]))), net)[0]) for r in rows}
+    assert kept["quality classifier"] == Counter(tuple(r) for r in rows if scores[r.text or ""] >= 0.3)
+    good = {r.doc_id for r in quality_rules.judge(odd).collect() if r.kept and r.doc_id is not None}
+    assert {r[0] for r in kept["quality rules"]} - {None} == good and not kept["quality rules"] - as_is
+    ids = Counter(r[0] for r in kept["n-gram Jaccard join"].elements())
+    assert ids[5] == 1 and not {6, 7, 17} & set(ids) and all(ids[k] == 1 for k in (0, 1, 2, 3, 4, 8, 9, 10, 11, 12, 13, 14, 15, 16)) and not kept["n-gram Jaccard join"] - as_is
+    texts = [(r.text or "").encode() for r in rows]
+    cut = [kept_of(t, s).decode("utf-8", "ignore") if r.text is not None else None for r, t, s in zip(rows, texts, brute_cut(texts))]
+    assert kept["suffix-array dedup"] == Counter((r[0], c, *r[2:]) for r, c in zip(rows, cut))
+    pieces = out["best-fit packing"].collect()
+    assert Counter(r.doc_id for r in pieces if r.piece == 0) == Counter(r.doc_id for r in rows)
+
+
+def test_texts_beyond_a_chunk(spark):
+    """Texts of more bytes than are handled at once come alone and whole."""
+    body = prose(77, 260_000)
+    assert len(body) > _text.CHUNK
+    texts = [body, "short text here", body[:-2000] + prose(78, 300), "é" * 600_000]
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    judged = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert [judged[k].n_words for k in range(4)] == [len(words(t)) for t in texts] and judged[3].word_chars == 600_000
+    cut = {r.doc_id: r for r in suffix_dedup.report(docs).collect()}
+    assert [cut[k].n_bytes for k in range(4)] == [len(t.encode()) for t in texts] and cut[0].n_removed >= len(body) - 2300 and cut[1].n_removed == 0
+    packed = Counter()
+    for r in best_fit.pack_documents(docs.where("doc_id < 2")).collect():
+        packed[r.doc_id] += r.length
+    assert packed[0] > 200_000 and packed[1] < 20
+    linked = {r.doc_id: r.class_id for r in jaccard_join.join(docs).collect()}
+    assert linked == {0: 0, 1: 1, 2: 0, 3: 3}
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(docs).collect()}[0] == "en"
 
 
 def test_pipeline_is_its_stages(spark, tmp_path):
