@@ -528,8 +528,10 @@ def _(t, spark, sf):
 
 @add("top08_repetition_pairs", "track a_start:d b_start:d lag_s:d similarity:d confidence:d")
 def _(t, spark, sf):
-    f = structure.zscore(_features(t), KEY)
-    profile = structure.lag_profile(_features(t), KEY, 2, 20)
+    # the levels' frames, with four components as the signal's frames have
+    frames = t("levels").select("track", "frame_idx", F.array(F.col("db") / 20, F.col("zcr") * 8, F.col("hnr"), F.col("tilt") / 12).alias("features"))
+    f = structure.zscore(frames, KEY)
+    profile = structure.lag_profile(frames, KEY, 2, 20)
     best = structure.period_candidates(profile, KEY, "similarity", 5, 4)
     return structure.repetition_pairs(f, best, KEY, step_s=0.55, block=4)
 
