@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordina.functions.text import lines, morae, normalize_kana
+from ordina.functions.text import katakana_to_hiragana, lines, morae, nfkc, normalize_kana, NOT_KANA
 from ordina.operators.series import Key
 
 
@@ -114,13 +114,20 @@ def partitioned(surface: list[str], kana: list[str], cycles: int, canonical: int
 
 
 def partition_lines(texts: DataFrame, text: str, cycles: int, canonical: int, deviation: int = 3) -> DataFrame:
-    """Adds chunks (array of texts), one per cycle."""
+    """Adds chunks (array of texts), one per cycle; null where the text can't be cut so, with the reason in chunks_error."""
 
-    @F.arrow_udf("array<string>")
+    @F.arrow_udf("struct<chunks: array<string>, chunks_error: string>")
     def cut(surface: pa.Array, kana: pa.Array) -> pa.Array:
-        return pa.array([["\n".join(c) for c in partitioned(s, k, cycles, canonical, deviation)] for s, k in zip(surface.to_pylist(), kana.to_pylist(), strict=True)], pa.list_(pa.string()))
-
-    rows = texts.withColumn("_lines", lines(F.col(text))).withColumn("_id", F.monotonically_increasing_id())
-    each = rows.select("_id", F.posexplode("_lines").alias("k", "line")).select("_id", "k", normalize_kana(F.col("line")).alias("kana"))
-    kana = each.groupBy("_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "kana"))), lambda r: r["kana"]).alias("_kana"))
-    return rows.join(kana, "_id").withColumn("chunks", cut("_lines", "_kana")).drop("_id", "_lines", "_kana")
+        out = []
+        for s, k in zip(surface.to_pylist(), kana.to_pylist(), strict=True):
+            try:
+                out.append({"chunks": ["\n".join(c) for c in partitioned(s or [], k or [], cycles, canonical, deviation)], "chunks_error": None})
+            except ValueError as error:
+                out.append({"chunks": None, "chunks_error": str(error)})
+        return pa.array(out, pa.struct([("chunks", pa.list_(pa.string())), ("chunks_error", pa.string())]))
+
+    # one composition for all lines of a text; the rest of normalize_kana line by line
+    composed = F.split(nfkc(F.concat_ws("\n", "_lines")), "\n")
+    kana = F.transform(composed, lambda s: F.regexp_replace(katakana_to_hiragana(F.lower(s)), NOT_KANA, ""))
+    rows = texts.withColumn("_lines", lines(F.col(text))).withColumn("_kana", kana)
+    return rows.withColumn("_cut", cut("_lines", "_kana")).select(*[F.col(c) for c in texts.columns], "_cut.*")

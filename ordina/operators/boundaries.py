@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,19 +112,21 @@ def evidence_mode(consensus: DataFrame, mix: DataFrame, chosen: DataFrame | None
     return out
 
 
-def novelty(frames: DataFrame, key: Key, value: str, smooth: int, lag: int, after: int) -> DataFrame:
-    """MAD-normalised value, moving average of `smooth` rows (zeros beyond the ends), absolute difference over `lag` rows, smoothed again."""
-    middle = frames.groupBy(*key).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
+def novelty(frames: DataFrame, key: Key, values: str | Sequence[str], smooth: int, lag: int, after: int) -> DataFrame:
+    """MAD-normalised values, moving averages of `smooth` rows (zeros beyond the ends), length of their change over `lag` rows, smoothed again."""
+    values = [values] if isinstance(values, str) else list(values)
+    middle = frames.groupBy(*key).agg(*[F.percentile(v, F.lit(0.5)).alias(f"_m_{v}") for v in values])
     rows = frames.join(middle, list(key))
-    spread = rows.groupBy(*key).agg(F.percentile(F.abs(F.col(value) - F.col("_m")), F.lit(0.5)).alias("_mad"))
-    rows = rows.join(spread, list(key)).withColumn("_x", (F.col(value) - F.col("_m")) / (F.col("_mad") + 1e-9))
+    spread = rows.groupBy(*key).agg(*[F.percentile(F.abs(F.col(v) - F.col(f"_m_{v}")), F.lit(0.5)).alias(f"_mad_{v}") for v in values])
+    rows = rows.join(spread, list(key)).withColumns({f"_x_{v}": (F.col(v) - F.col(f"_m_{v}")) / (F.col(f"_mad_{v}") + 1e-9) for v in values})
     w = Window.partitionBy(*key).orderBy("frame_idx")
 
     def average(column: str, n: int) -> Column:
         return F.sum(column).over(w.rowsBetween(-(n // 2), (n - 1) // 2)) / n
 
-    rows = rows.withColumn("_a", average("_x", smooth))
-    rows = rows.withColumn("_d", F.coalesce(F.abs(F.col("_a") - F.lag("_a", lag).over(w)), F.lit(0.0)))
+    rows = rows.withColumns({f"_a_{v}": average(f"_x_{v}", smooth) for v in values})
+    moved = [F.col(f"_a_{v}") - F.lag(f"_a_{v}", lag).over(w) for v in values]
+    rows = rows.withColumn("_d", F.coalesce(F.sqrt(sum((m * m for m in moved[1:]), moved[0] * moved[0])), F.lit(0.0)))
     return rows.select(*key, "frame_idx", average("_d", after).alias("novelty"))
 
 

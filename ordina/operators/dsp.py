@@ -21,18 +21,26 @@ RATE, FRAME, FPS = 44_100, 2_048, 100
 def framed(chunks: DataFrame, key: Key, size: int, hop: int, centred: bool = False) -> DataFrame:
     """(key, frame_idx, start, frame) of every whole frame of size samples, hop apart, from chunk rows (start_sample, samples).
 
-    A frame meets the chunks it touches by an equi join on blocks of hop samples.
+    Centred frames have their middle at frame_idx * hop for every such place inside the signal, and zeros beyond its ends.
+    Each chunk gives its part of every frame it touches; a frame is put together from its parts.
     """
+    half = size // 2 if centred else 0
     spans = chunks.select(*key, "start_sample", "samples", F.size("samples").alias("_n"))
     total = spans.groupBy(*key).agg(F.max(F.col("start_sample") + F.col("_n")).alias("_total"))
-    first = F.greatest(F.lit(0), F.ceil((F.col("start_sample") - size + 1) / hop))
-    last = F.floor((F.col("start_sample") + F.col("_n") - 1) / hop)
-    parts = spans.withColumn("frame_idx", F.explode(F.sequence(first.cast("long"), last.cast("long")))).withColumn("start", F.col("frame_idx") * hop)
+    first = F.greatest(F.lit(0), F.ceil((F.col("start_sample") + half - size + 1) / hop))
+    last = F.floor((F.col("start_sample") + half + F.col("_n") - 1) / hop)
+    parts = spans.withColumn("frame_idx", F.explode(F.sequence(first.cast("long"), last.cast("long")))).withColumn("start", F.col("frame_idx") * hop - half)
     a = F.greatest(F.lit(0), F.col("start") - F.col("start_sample"))
     b = F.least(F.col("_n").cast("long"), F.col("start") + size - F.col("start_sample"))
     parts = parts.select(*key, "frame_idx", "start", F.struct("start_sample", F.slice("samples", (a + 1).cast("int"), (b - a).cast("int")).alias("x")).alias("p"))
     whole = parts.groupBy(*key, "frame_idx", "start").agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["x"])).alias("frame"))
-    return whole.join(total, list(key)).where(F.col("start") + size <= F.col("_total")).drop("_total")
+    whole = whole.join(total, list(key))
+    if not centred:
+        return whole.where(F.col("start") + size <= F.col("_total")).drop("_total")
+    before = F.greatest(F.lit(0), -F.col("start")).cast("int")
+    zero = F.get("frame", F.lit(0)) * 0
+    padded = F.concat(F.array_repeat(zero, before), "frame", F.array_repeat(zero, F.lit(size) - before - F.size("frame")))
+    return whole.where(F.col("frame_idx") * hop < F.col("_total")).withColumn("frame", padded).drop("_total")
 
 
 def rms(frame: Column) -> Column:
@@ -249,19 +257,38 @@ def log_spectrogram(mono: np.ndarray, rate: int = RATE) -> np.ndarray:
     return out
 
 
-def dominance_map(frames: DataFrame) -> DataFrame:
-    """(bin, vocals_db, instr_db) rows of frames with arrays vocals and instrumental."""
+def log_bands(chunks: DataFrame, key: Key, rate: int = RATE) -> DataFrame:
+    """(key, frame_idx, bands): log_spectrogram of mono 16-bit chunk rows (start_sample, samples), by frames. The rate is a multiple of FPS."""
+    if rate % FPS:
+        raise ValueError(f"{rate} samples a second aren't a multiple of {FPS}")
+    bank, window = log_filterbank(rate).T, np.hanning(FRAME)
 
-    @F.pandas_udf("array<struct<bin: int, vocals_db: double, instr_db: double>>")
-    def cells(vocals: pd.Series, instrumental: pd.Series) -> pd.Series:
-        out = []
-        for v, i in zip(vocals, instrumental, strict=True):
-            db = [20 * np.log10(np.maximum(1e-10, np.abs(np.fft.rfft(np.asarray(x, float) * np.hanning(len(x)))))) for x in (v, i)]
-            out.append([{"bin": k, "vocals_db": float(a), "instr_db": float(b)} for k, (a, b) in enumerate(zip(*db, strict=True))])
-        return pd.Series(out)
+    @F.pandas_udf("array<float>")
+    def bands(frame: pd.Series) -> pd.Series:
+        if not len(frame):
+            return pd.Series([], dtype=object)
+        size = np.abs(np.fft.rfft(np.stack(frame.to_numpy()) / 32767 * window))[:, :-1].astype(np.float32)
+        return pd.Series(list(np.log10(size @ bank + 1).astype(np.float32)))
+
+    return framed(chunks, key, FRAME, rate // FPS, centred=True).select(*key, "frame_idx", bands("frame").alias("bands"))
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def spectrum_db(frame: pd.Series) -> pd.Series:
+    """Levels of the bins of a frame under a Hann window, -200 dB at least."""
+    return pd.Series([20 * np.log10(np.maximum(1e-10, np.abs(np.fft.rfft(np.asarray(x, float) * np.hanning(len(x)))))) for x in frame], dtype=object)
 
+
+def stft(chunks: DataFrame, key: Key, size: int = 1_024, hop: int = 256) -> DataFrame:
+    """(key, frame_idx, bins): levels of each whole frame of a signal in chunk rows."""
+    return framed(chunks, key, size, hop).select(*key, "frame_idx", spectrum_db("frame").alias("bins"))
+
+
+def dominance_map(frames: DataFrame) -> DataFrame:
+    """(bin, vocals_db, instr_db) rows of frames with arrays vocals and instrumental."""
     keep = [c for c in frames.columns if c not in ("vocals", "instrumental")]
-    return frames.select(*keep, F.explode(cells("vocals", "instrumental")).alias("_c")).select(*keep, "_c.*")
+    both = F.arrays_zip(spectrum_db("vocals").alias("vocals_db"), spectrum_db("instrumental").alias("instr_db"))
+    return frames.select(*keep, F.posexplode(both).alias("bin", "_c")).select(*keep, "bin", F.col("_c")["vocals_db"].alias("vocals_db"), F.col("_c")["instr_db"].alias("instr_db"))
 
 
 def repetition_features(frames: DataFrame, key: Key) -> DataFrame:

@@ -70,6 +70,14 @@ def nearest(queries: DataFrame, grid: DataFrame, key: Key, time: str, place: str
     return found.select(*key, "_q.*", chosen.alias("_n")).select(*key, *[c for c in queries.columns if c not in key], "_n.*")
 
 
+def zipped(a: DataFrame, b: DataFrame, key: Key, order_a: Sequence[str], order_b: Sequence[str]) -> DataFrame:
+    """The n-th row of a beside the n-th of b in their own orders, as far as both go. Columns of both must differ but for the key."""
+    from pyspark.sql import Window
+
+    left, right = (rows.withColumn("position", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1) for rows, order in ((a, order_a), (b, order_b)))
+    return left.join(right, [*key, "position"])
+
+
 def without_match(rows: DataFrame, others: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows that the other side lacks."""
     return rows.join(others, list(on), "left_anti")

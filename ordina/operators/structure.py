@@ -226,7 +226,7 @@ def cosine_summary(features: DataFrame, key: Key, block: int = 512) -> DataFrame
 def template_alignment(features: DataFrame, key: Key, *, anchor: int, period: int, length: int, radius: int, min_separation: float = 0.5) -> DataFrame:
     """Where near each place of the grid anchor + k * period the template (length frames from anchor) fits best.
 
-    Similarities of all shifts are native; only the choice goes step by step, as each lower bound depends on the choice before.
+    The choice goes place by place, as each lower bound depends on the choice before; it ends at the first place without one.
     Ties: nearer to the grid, then earlier.
     """
     scaled = unit(zscore(features, [*key, "view"]))
@@ -234,26 +234,22 @@ def template_alignment(features: DataFrame, key: Key, *, anchor: int, period: in
     shifts = scaled.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).withColumn("start", F.col("frame_idx") - F.col("_k")).where("start >= 0")
     each = shifts.join(template, [*key, "view", "_k"]).groupBy(*key, "view", "start").agg(F.avg(dot(F.col("_t"), F.col("features"))).alias("s"), F.count("*").alias("_n")).where(F.col("_n") == length)
     at = each.groupBy(*key, "start").agg(F.avg("s").alias("similarity"))
-    total = features.groupBy(*key).agg(F.max("frame_idx").alias("_last"))
-    rows = at.join(total, list(key))
+    # each place of the grid brings its options in order of merit; the fold takes the first that keeps its distance
+    index = F.explode(F.sequence(F.ceil((F.col("start") - anchor - radius) / period), F.floor((F.col("start") - anchor + radius) / period)))
+    options = at.withColumn("k", index).where("k >= 0").withColumn("off", F.col("start") - (F.lit(anchor) + F.col("k") * period)).where(F.abs("off") <= radius)
+    merit = F.struct((-F.col("similarity")).alias("worse"), F.abs("off").alias("far"), F.col("start").cast("long").alias("start"), F.col("off").cast("long").alias("off"))
+    places = options.groupBy(*key, "k").agg(F.array_sort(F.collect_list(merit)).alias("options")).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("k", "options"))).alias("_places"))
     apart = max(1, round(period * min_separation))
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in features.select(*key).schema), "index int, expected_frame long, aligned_frame long, offset_frames long, combined_similarity double"])
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        score = pdf.set_index("start").similarity
-        most = int(pdf._last.iloc[0]) + 1 - length
-        out, before, k = [], None, 0
-        while (expected := anchor + k * period) - radius <= most:
-            low, high = max(0, expected - radius, *([before + apart] if before is not None else [])), min(most, expected + radius)
-            if low > high:
-                break
-            near = score.loc[[s for s in range(low, high + 1) if s in score.index]]
-            before = int(min(near.index, key=lambda s: (-near[s], abs(s - expected), s)))
-            out.append((*(pdf[c].iloc[0] for c in key), k, expected, before, before - expected, float(near[before])))
-            k += 1
-        return pd.DataFrame(out, columns=[*key, "index", "expected_frame", "aligned_frame", "offset_frames", "combined_similarity"])
-
-    return rows.groupBy(*key).applyInPandas(choose, schema)
+
+    def step(done: Column, place: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)["start"]
+        free = F.filter(place["options"], lambda o: last.isNull() | (o["start"] >= last + apart))
+        follows = (place["k"] == F.size(done)) & (F.size(free) > 0)  # after a place without a choice there are none
+        return F.when(follows, F.concat(done, F.slice(free, 1, 1))).otherwise(done)
+
+    none = F.slice(F.get("_places", F.lit(0))["options"], 1, 0)
+    chosen = places.select(*key, F.posexplode(F.aggregate("_places", none, step)).alias("index", "_c"))
+    return chosen.select(*key, "index", (F.lit(anchor) + F.col("index") * period).cast("long").alias("expected_frame"), F.col("_c.start").alias("aligned_frame"), F.col("_c.off").alias("offset_frames"), (-F.col("_c.worse")).alias("combined_similarity"))
 
 
 def tempo_set(beats: DataFrame, key: Key, bpm: str, time: str) -> DataFrame:

@@ -89,8 +89,9 @@ def browser_register(frames: DataFrame, key: Key) -> DataFrame:
     return found.select(*key, F.explode(F.aggregate("_rows", F.slice("_rows", 1, 0), step)).alias("r")).select(*key, "r.*")
 
 
-def modulation(points: DataFrame, key: Key, *, window_s: float = 0.8, min_confidence: float = 0.5, max_gap_s: float = 0.05, least: int = 12, piece_s: float = 30.0) -> DataFrame:
-    """Around each point (time_s, f0_hz, confidence): extent p95 - p05 and deviation of the detrended cents of confident points within window_s / 2, or nulls.
+def modulation(points: DataFrame, key: Key, *, window_s: float = 0.8, min_confidence: float = 0.5, max_gap_s: float = 0.05, least: int = 12, piece_s: float = 30.0, rate: bool = True) -> DataFrame:
+    """Around each point (time_s, f0_hz, confidence): extent p95 - p05 and deviation of the detrended cents of confident points within window_s / 2,
+    and (with `rate`, by an Arrow function) rate_hz, the strongest rate of the residuals; nulls where there are too few points.
 
     Two passes over the window: the line, then the residuals; long series are split in pieces with overlap.
     """
@@ -108,7 +109,11 @@ def modulation(points: DataFrame, key: Key, *, window_s: float = 0.8, min_confid
     line = near.groupBy(*by).agg(F.count("*").alias("_n"), F.max("_gap").alias("_most"), F.regr_slope("cents", "_t").alias("_m"), F.regr_intercept("cents", "_t").alias("_k"), F.percentile("confidence", F.lit(0.5)).alias("median_confidence"))
     line = line.where((F.col("_n") >= least) & (F.col("_most") <= max_gap_s))
     rest = near.join(line, by).withColumn("_r", F.col("cents") - (F.col("_m") * F.col("_t") + F.col("_k")))
-    found = rest.groupBy(*by).agg((F.percentile("_r", F.lit(0.95)) - F.percentile("_r", F.lit(0.05))).alias("extent_cents_p95_p05"), F.stddev_pop("_r").alias("detrended_std_cents"), F.first("median_confidence").alias("median_confidence"))
+    found = rest.groupBy(*by).agg((F.percentile("_r", F.lit(0.95)) - F.percentile("_r", F.lit(0.05))).alias("extent_cents_p95_p05"), F.stddev_pop("_r").alias("detrended_std_cents"), F.first("median_confidence").alias("median_confidence"), *([F.array_sort(F.collect_list(F.struct("_t", "_r"))).alias("_points")] if rate else []))
+    if rate:
+        from ordina.operators.dsp import modulation_rate
+
+        found = found.withColumn("rate_hz", modulation_rate("_points._t", "_points._r")).drop("_points")
     return points.select(*key, "time_s").join(found, by, "left")
 
 
@@ -191,13 +196,21 @@ def harmonic_reading(kind: Column, hnr_db: Column, cpps_db: Column) -> Column:
     return F.when(kind == "quiet", "not applicable").when(_true((hnr_db >= 10) & (cpps_db >= 7)), "harmonic").when(_true((hnr_db < 3) | (cpps_db < 3)), "noisy").otherwise("moderate")
 
 
+#: The frame metrics besides the pitch of which intervals and runs take medians, as far as a table has them.
+METRICS = ("confidence", "rms_db", "hnr", "cpps", "tilt", "vib_extent", "vib_rate")
+
+
+def _metric_medians(frames: DataFrame) -> list[Column]:
+    return [F.percentile(finite(F.col(c)), F.lit(0.5)).alias(f"median_{c}") for c in METRICS if c in frames.columns]
+
+
 def interval_medians(intervals: DataFrame, frames: DataFrame, key: Key) -> DataFrame:
-    """Medians of frame metrics per interval (start_s, end_s); f0 only over confident voiced frames."""
+    """Medians of the frame metrics per interval (start_s, end_s); f0 only over confident voiced frames."""
     from ordina.operators.matching import points_in
 
     inside = points_in(intervals, frames, key, "start_s", "end_s", "t")
     voiced = F.when((F.col("f0") > 0) & (F.col("confidence") >= 0.5), F.col("f0"))
-    return inside.groupBy(*key, "start_s", "end_s").agg(F.percentile(voiced, F.lit(0.5)).alias("median_f0_hz"), *[F.percentile(c, F.lit(0.5)).alias(f"median_{c}") for c in ("rms_db", "hnr", "tilt")])
+    return inside.groupBy(*key, "start_s", "end_s").agg(F.percentile(voiced, F.lit(0.5)).alias("median_f0_hz"), *_metric_medians(frames))
 
 
 def interval_changes(intervals: DataFrame, key: Key) -> DataFrame:
@@ -212,10 +225,10 @@ def interval_changes(intervals: DataFrame, key: Key) -> DataFrame:
 
 
 def stable_runs(frames: DataFrame, key: Key, stable: Column, least: int = 12) -> DataFrame:
-    """Runs of least or more stable rows."""
+    """Runs of least or more stable rows, with the medians of their metrics."""
     w = Window.partitionBy(*key).orderBy("t")
     runs = islands(frames.withColumn("_s", F.coalesce(stable, F.lit(False))), key, ["t"], F.col("_s") != F.lag("_s").over(w)).where("_s")
-    return runs.groupBy(*key, "island").agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"), F.count("*").alias("frames"), F.percentile("f0", F.lit(0.5)).alias("median_f0_hz")).where(F.col("frames") >= least).drop("island")
+    return runs.groupBy(*key, "island").agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"), F.count("*").alias("frames"), F.percentile("f0", F.lit(0.5)).alias("median_f0_hz"), *_metric_medians(frames)).where(F.col("frames") >= least).drop("island")
 
 
 def chronicle(states: DataFrame, movements: DataFrame, registers: DataFrame, key: Key) -> DataFrame:

@@ -1,58 +1,21 @@
 """Registered queries of the series operators over the driver's tables, with oracles in SQL.
 
-Doubles are rounded to four digits on both sides, as engines add in different orders.
+Those of functions, readers and writers are in column_queries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordina.functions import scalar, text
 from ordina.operators import alignment, boundaries, dsp, matching, pitch, rhythm, sections, selection, series, structure, voice
-from ordina.plans import inputs
+from ordina.plans import column_queries  # noqa: F401  (registers its queries)
+from ordina.plans.registry import add, KEY, QUERIES
 from ordina.sources import generators
 
-KEY = ["track"]
-DIGITS = 4
-
-
-@dataclass(frozen=True)
-class Query:
-    """columns: names; `:d` marks doubles. sql: None where SQL can't say it."""
-
-    columns: str
-    run: Callable[[Callable[[str], DataFrame], SparkSession, str], DataFrame]
-    sql: str | None = None
-
-    def fields(self) -> list[tuple[str, bool]]:
-        return [(c.removesuffix(":d"), c.endswith(":d")) for c in self.columns.split()]
-
-    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = self.run(lambda name: inputs.series(spark, sf_dir, name), spark, sf_dir)
-        return rows.select(*[(F.round(F.col(c), DIGITS) + 0.0).alias(c) if d else F.col(c) for c, d in self.fields()])
-
-    def oracle(self) -> str | None:
-        if self.sql is None:
-            return None
-        picked = ", ".join(f'round("{c}", {DIGITS}) + 0.0::DOUBLE AS "{c}"' if d else f'"{c}"' for c, d in self.fields())
-        return f"SELECT {picked} FROM ({inputs.oracle(self.sql)}) q"
-
-
-QUERIES: dict[str, Query] = {}
-
-
-def add(name: str, columns: str, sql: str | None = None):
-    def register(run):
-        QUERIES[name] = Query(columns, run, sql)
-        return run
-
-    return register
-
-
 CONSENSUS_SQL = """
  WITH u AS (SELECT *, CASE WHEN pyin_hz > 0 THEN pyin_hz END AS p, CASE WHEN crepe_hz > 0 THEN crepe_hz END AS c FROM {estimates}),
  d AS (SELECT *, abs(1200 * log2(p / c)) AS dis, coalesce(c IS NOT NULL AND crepe_periodicity >= 0.21, false) AS rel FROM u),
@@ -204,6 +167,11 @@ def _(t, spark, sf):
  l AS (SELECT track, time_s, count(*) AS n, max(gap) AS g, regr_slope(c, x) AS m, regr_intercept(c, x) AS b, median(confidence) AS mc FROM j GROUP BY ALL HAVING count(*) >= 12 AND coalesce(max(gap), 0) <= 0.05),
  r AS (SELECT track, time_s, quantile_cont(c - m * x - b, 0.95) - quantile_cont(c - m * x - b, 0.05) AS e, stddev_pop(c - m * x - b) AS d, any_value(mc) AS mc FROM j JOIN l USING (track, time_s) GROUP BY ALL)
  SELECT p.track, p.time_s, e AS extent_cents_p95_p05, d AS detrended_std_cents, mc AS median_confidence FROM p LEFT JOIN r USING (track, time_s)""")
+def _(t, spark, sf):
+    return voice.modulation(t("tones").where("f0_hz is not null").select("track", "time_s", "f0_hz", "confidence"), KEY, rate=False)
+
+
+@add("dsp06_vibrato_rate", "track time_s:d rate_hz:d extent_cents_p95_p05:d")
 def _(t, spark, sf):
     return voice.modulation(t("tones").where("f0_hz is not null").select("track", "time_s", "f0_hz", "confidence"), KEY)
 
@@ -614,17 +582,27 @@ def _(t, spark, sf):
     return boundaries.stem_change_points(boundaries.stem_shares(rows, KEY), KEY, F.lit(1e9))
 
 
-@add("agg19_interval_medians", "track start_s:d median_f0_hz:d median_rms_db:d", """
- SELECT s.track, s.start_s, median(CASE WHEN f0 > 0 AND confidence >= 0.5 THEN f0 END) AS median_f0_hz, median(db) AS median_rms_db FROM {spans} s JOIN {levels} l ON l.track = s.track AND l.t BETWEEN s.start_s AND s.end_s GROUP BY s.track, s.start_s, s.end_s""")
+def _metrics(t):
+    """Levels with the metrics of a frame under their names."""
+    c = F.col
+    return t("levels").withColumns({"rms_db": c("db"), "cpps": c("hnr") + 1, "vib_extent": c("zcr") * 100, "vib_rate": 3 + c("confidence") * 6})
+
+
+MEDIANS = "median_confidence:d median_rms_db:d median_hnr:d median_cpps:d median_tilt:d median_vib_extent:d median_vib_rate:d"
+MEDIANS_SQL = "median(confidence) AS median_confidence, median(db) AS median_rms_db, median(hnr) AS median_hnr, median(hnr + 1) AS median_cpps, median(tilt) AS median_tilt, median(zcr * 100) AS median_vib_extent, median(3 + confidence * 6) AS median_vib_rate"
+
+
+@add("agg19_interval_medians", f"track start_s:d median_f0_hz:d {MEDIANS}", f"""
+ SELECT s.track, s.start_s, median(CASE WHEN f0 > 0 AND confidence >= 0.5 THEN f0 END) AS median_f0_hz, {MEDIANS_SQL} """ + """FROM {spans} s JOIN {levels} l ON l.track = s.track AND l.t BETWEEN s.start_s AND s.end_s GROUP BY s.track, s.start_s, s.end_s""")
 def _(t, spark, sf):
-    return voice.interval_medians(t("spans"), t("levels").withColumnRenamed("db", "rms_db"), KEY)
+    return voice.interval_medians(t("spans"), _metrics(t), KEY)
 
 
-@add("win17_stable_runs", "track start_s:d end_s:d frames median_f0_hz:d", """
+@add("win17_stable_runs", f"track start_s:d end_s:d frames median_f0_hz:d {MEDIANS}", """
  WITH s AS (SELECT *, coalesce(confidence >= 0.2 AND f0 IS NOT NULL AND db > -55, false) AS ok FROM {levels}), r AS (SELECT *, sum(n) OVER (PARTITION BY track ORDER BY t) AS g FROM (SELECT *, CASE WHEN ok = lag(ok) OVER (PARTITION BY track ORDER BY t) THEN 0 ELSE 1 END AS n FROM s))
- SELECT track, min(t) AS start_s, max(t) AS end_s, count(*) AS frames, median(f0) AS median_f0_hz FROM r WHERE ok GROUP BY track, g HAVING count(*) >= 4""")
+ SELECT track, min(t) AS start_s, max(t) AS end_s, count(*) AS frames, median(f0) AS median_f0_hz, """ + MEDIANS_SQL + """ FROM r WHERE ok GROUP BY track, g HAVING count(*) >= 4""")
 def _(t, spark, sf):
-    return voice.stable_runs(t("levels"), KEY, (F.col("confidence") >= 0.2) & F.col("f0").isNotNull() & (F.col("db") > -55), 4)
+    return voice.stable_runs(_metrics(t), KEY, (F.col("confidence") >= 0.2) & F.col("f0").isNotNull() & (F.col("db") > -55), 4)
 
 
 @add("win06_browser_movements", "track start_s:d end_s:d direction change_cents:d r2:d")
@@ -771,6 +749,16 @@ def _(t, spark, sf):
     return boundaries.novelty(t("levels"), KEY, "db", 4, 6, 2)
 
 
+@add("win21_joint_novelty", "track frame_idx novelty:d", """
+ WITH m AS (SELECT track, median(db) AS m0, median(hnr) AS m1, median(tilt) AS m2 FROM {levels} GROUP BY track), b AS (SELECT l.track, median(abs(db - m0)) + 1e-9 AS s0, median(abs(hnr - m1)) + 1e-9 AS s1, median(abs(tilt - m2)) + 1e-9 AS s2 FROM {levels} l JOIN m USING (track) GROUP BY l.track),
+ x AS (SELECT track, frame_idx, (db - m0) / s0 AS x0, (hnr - m1) / s1 AS x1, (tilt - m2) / s2 AS x2 FROM {levels} JOIN m USING (track) JOIN b USING (track)),
+ a AS (SELECT track, frame_idx, sum(x0) OVER w / 4 AS x0, sum(x1) OVER w / 4 AS x1, sum(x2) OVER w / 4 AS x2 FROM x WINDOW w AS (PARTITION BY track ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)),
+ d AS (SELECT track, frame_idx, coalesce(sqrt((x0 - lag(x0, 6) OVER w) ** 2 + (x1 - lag(x1, 6) OVER w) ** 2 + (x2 - lag(x2, 6) OVER w) ** 2), 0) AS d FROM a WINDOW w AS (PARTITION BY track ORDER BY frame_idx))
+ SELECT track, frame_idx, sum(d) OVER (PARTITION BY track ORDER BY frame_idx ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) / 2 AS novelty FROM d""")
+def _(t, spark, sf):
+    return boundaries.novelty(t("levels"), KEY, ["db", "hnr", "tilt"], 4, 6, 2)
+
+
 @add("win26_boundary_times", "track t:d", PEAK_SQL + "SELECT DISTINCT track, t FROM (SELECT track, frame_idx * 441 / 44100 AS t FROM cut UNION ALL SELECT track, 0 FROM {logits} UNION ALL SELECT track, count(*) * 441 / 44100 FROM {logits} GROUP BY track)")
 def _(t, spark, sf):
     rows = t("logits")

@@ -174,6 +174,26 @@ def timeline_pitch(frames: DataFrame, key: list[str]) -> tuple[DataFrame, DataFr
     return rows, frames.groupBy(*key).agg(F.coalesce(F.max(t), F.lit(0.0)).alias("duration_s"))
 
 
+def timeline_spans(spans: DataFrame, key: list[str], columns: dict[str, tuple[str, int]]) -> DataFrame:
+    """Segments or movements for a timeline: start and end to three digits, other columns by {column: (name, digits)}; numbers that can't be used are null."""
+    ends = {"start_s": ("start_s", 3), "end_s": ("end_s", 3)}
+    return spans.select(*key, *[F.bround(finite(F.col(c)), digits).alias(name) for c, (name, digits) in (ends | columns).items()])
+
+
+#: What a container's probe says of it, as far as it is read.
+PROBE = "streams array<struct<codec_type string, codec_name string, sample_rate string, channels int>>, format struct<format_name string, duration string, bit_rate string>"
+
+
+def probe(json: Column) -> Column:
+    """A container's probe output (JSON) as a struct: format, duration_s, bit_rate, and codec, sample_rate, channels of the first audio stream; what is missing is null."""
+    found = F.from_json(json, PROBE)
+    audio = F.get(F.filter(found["streams"], lambda s: s["codec_type"] == "audio"), F.lit(0))
+    about = found["format"]
+    return F.struct(
+        about["format_name"].alias("format"), finite(about["duration"]).alias("duration_s"), about["bit_rate"].try_cast("long").alias("bit_rate"),
+        audio["codec_name"].alias("codec"), audio["sample_rate"].try_cast("int").alias("sample_rate"), audio["channels"].alias("channels"))
+
+
 def timeline_register(candidates: DataFrame, key: list[str]) -> DataFrame:
     """Register candidates with their numeric deltas only, rounded."""
     return candidates.select(*key, F.bround("time_s", 3).alias("t"), F.transform_values(F.map_filter("deltas", lambda _, v: v.isNotNull()), lambda _, v: F.bround(v, 3)).alias("deltas"), "changed_features")

@@ -29,6 +29,7 @@ def estimator_table(frames: DataFrame, confidence_name: str) -> DataFrame:
     return frames.select("time_s", "f0_hz", midi.alias("midi"), cents_to_nearest_semitone(midi).alias("cents_to_nearest_12tet"), F.col("confidence").alias(confidence_name))
 
 
+#: The columns of the consensus table in order.
 CONSENSUS = ("time_s", "pyin_f0_hz", "crepe_f0_hz", "consensus_f0_hz", "selected_f0_hz", "selected_confidence", "selected_source", "disagreement_cents", "agreement", "pyin_confidence", "crepe_periodicity", "crepe_reliable")
 
 
@@ -112,6 +113,40 @@ def compact_timeline(rows: DataFrame, key: list[str], columns: list[str], name:
     return packed.select(*key, F.to_json(F.struct(name)).alias("json"))
 
 
+def track_document(lists: dict[str, DataFrame], key: list[str], layout: dict[str, tuple[str, list[str]]]) -> DataFrame:
+    """Per key one JSON text that holds each list by its name, rows as arrays; layout: {name: (order, columns)}. A key that a list lacks has an empty one there."""
+    keys = None
+    packed = {}
+    for name, (order, columns) in layout.items():
+        row = F.struct(F.col(order).alias("_o"), F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
+        packed[name] = lists[name].groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["v"]).alias(name))
+        keys = packed[name].select(*key) if keys is None else keys.union(packed[name].select(*key))
+    out = keys.distinct()
+    for name, rows in packed.items():
+        out = out.join(rows, key, "left").withColumn(name, F.coalesce(name, F.expr("cast(array() as array<array<double>>)")))
+    return out.select(*key, F.to_json(F.struct(*layout)).alias("json"))
+
+
+def document(rows: list[dict] | dict, path: str, spark) -> None:
+    """One pretty JSON document (a report or a status, small by nature) as a single text file in the folder `path`, letters as they are."""
+    import json as js
+
+    spark.createDataFrame([(js.dumps(rows, ensure_ascii=False, indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def arrays(frames: DataFrame, path: str, key: list[str]) -> None:
+    """Matrices, a row of theirs per row (key, frame_idx, array columns), as Parquet in order within each file."""
+    frames.repartitionByRange(*key, "frame_idx").sortWithinPartitions(*key, "frame_idx").write.mode("overwrite").parquet(path)
+
+
+def analysis_export(entries: DataFrame, key: list[str], about: DataFrame) -> DataFrame:
+    """Per key the JSON text of what is known of it (`about`, one row per key) and its chronicle's entries (column entry gives their order)."""
+    columns = [c for c in entries.columns if c not in key]
+    listed = entries.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("entry", *[c for c in columns if c != "entry"]))).alias("entries"))
+    both = about.join(listed, key, "left").withColumn("entries", F.coalesce("entries", F.array()))
+    return both.select(*key, F.to_json(F.struct(*[c for c in about.columns if c not in key], "entries")).alias("json"))
+
+
 def number(value: Column, digits: int = 4) -> Column:
     """A number for people; a dash for null."""
     return F.coalesce(F.format_number(value, digits), F.lit("—"))

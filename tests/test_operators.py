@@ -457,3 +457,52 @@ def test_prominent_peaks(spark):
     y = np.array([0, 1, 0, 3, 0, 0.1, 0, 2, 2, 0.0])
     rows = dsp.prominent_peaks(frame(spark, frame_idx=np.arange(10), v=y), KEY, "v", 2, 0.5).orderBy("frame_idx").collect()
     assert [r.frame_idx for r in rows] == [1, 3, 7]
+
+
+def test_template_alignment_brute(spark):
+    """Places nearer than the radius to two places of the grid, against the choice step by step."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 3))
+    df = spark.createDataFrame([("t", "v", k, [float(v) for v in r]) for k, r in enumerate(x)], "track string, view string, frame_idx long, features array<double>")
+    z = (x - x.mean(0)) / x.std(0)
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    score = [float(np.mean(np.sum(z[2:6] * z[s : s + 4], axis=1))) for s in range(57)]
+    want, before = [], -99
+    for k in range(100):
+        place = 2 + 7 * k
+        near = [s for s in range(57) if abs(s - place) <= 5 and s >= before + 4]
+        if not near:
+            break
+        before = min(near, key=lambda s: (-score[s], abs(s - place), s))
+        want.append((k, place, before, before - place, round(score[before], 9)))
+    got = structure.template_alignment(df, KEY, anchor=2, period=7, length=4, radius=5).orderBy("index").collect()
+    assert [(r["index"], r.expected_frame, r.aligned_frame, r.offset_frames, round(r.combined_similarity, 9)) for r in got] == want and len(want) > 5
+
+
+def test_log_bands_and_stft(spark):
+    """Frames put together from chunks equal those of the whole signal."""
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=5_000) * 3_000).astype(np.int16)
+    chunks = spark.createDataFrame([("t", a, x[a : a + 1_500].tolist()) for a in range(0, 5_000, 1_500)], "track string, start_sample long, samples array<int>")
+    got = np.stack([r.bands for r in dsp.log_bands(chunks, KEY).orderBy("frame_idx").collect()])
+    want = dsp.log_spectrogram(x.astype(float))
+    assert got.shape == want.shape and np.allclose(got, want, atol=1e-4)
+    levels = dsp.stft(chunks, KEY, 512, 200).orderBy("frame_idx").collect()
+    assert len(levels) == (5_000 - 512) // 200 + 1
+    assert np.allclose(levels[3].bins, 20 * np.log10(np.maximum(1e-10, np.abs(np.fft.rfft(x[600:1_112] * np.hanning(512))))))
+
+
+def test_partition_of_uncuttable(spark):
+    """A text that can't be cut has a reason and doesn't end the job; others are cut."""
+    df = spark.createDataFrame([(1, "ア\nイ\nあ\nい"), (2, "ア"), (3, None)], "id int, text string")
+    got = {r.id: r for r in alignment.partition_lines(df, "text", 2, 2, 1).collect()}
+    assert got[1].chunks == ["ア\nイ", "あ\nい"] and got[1].chunks_error is None
+    assert got[2].chunks is None and got[2].chunks_error and got[3].chunks is None
+
+
+def test_modulation_rate(spark):
+    t = np.arange(0, 3, 0.01)
+    f0 = 440 * 2 ** (40 * np.sin(2 * np.pi * 5 * t) / 1200)
+    df = spark.createDataFrame([("t", float(a), float(b), 0.9) for a, b in zip(t, f0, strict=True)], "track string, time_s double, f0_hz double, confidence double")
+    rates = [r.rate_hz for r in voice.modulation(df, KEY).where("time_s between 0.6 and 2.4").collect()]
+    assert len(rates) > 150 and all(abs(r - 5) < 1.3 for r in rates)

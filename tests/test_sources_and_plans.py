@@ -116,6 +116,12 @@ def test_provenance(spark, tmp_path):
     assert provenance.planned(stages, "full", False) == ["acoustic", "asr"]
     states = provenance.run_stage(spark, good, {}, str(tmp_path), record)
     assert provenance.runs(spark, states, record).count() == 2
+    written = spark.read.text(f"{tmp_path}/status.json", wholetext=True).first()[0]
+    assert '"status": "success"' in written and "\n" in written
+    with pytest.raises(ValueError, match="analyzer"):
+        provenance.build("x.wav", SHA, "  ", versions={})
+    assert provenance.broken(record | {"parameters": []}, provenance.PROVENANCE) == ["parameters"]
+    assert provenance.command_version("no-such-command", "-v") is None
     assert provenance.output_path("out", "t", "asr", "vocals", "small") == "out/t/vocals/asr-small"
     assert provenance.outputs(["b.csv", "x/status.json", "a.csv"]) == ["a.csv", "b.csv"]
 
@@ -144,3 +150,18 @@ def test_query(spark, name):
 
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_exports(spark, tmp_path):
+    """Analysis export, track document and array tables hold what was given."""
+    import json as js
+
+    entries = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y")], "track string, entry int, kind string")
+    about = spark.createDataFrame([("a", 3.5), ("b", None)], "track string, duration_s double")
+    got = {r.track: js.loads(r.json) for r in writers.analysis_export(entries, ["track"], about).collect()}
+    assert got["a"] == {"duration_s": 3.5, "entries": [{"entry": 1, "kind": "y"}, {"entry": 2, "kind": "x"}]} and got["b"]["entries"] == []
+    rows = spark.createDataFrame([("a", 0, [1.0, 2.0]), ("a", 1, [3.0, 4.0])], "track string, frame_idx long, features array<double>")
+    writers.arrays(rows, f"{tmp_path}/arrays", ["track"])
+    assert [r.features for r in spark.read.parquet(f"{tmp_path}/arrays").orderBy("frame_idx").collect()] == [[1.0, 2.0], [3.0, 4.0]]
+    writers.document([{"ü": 1}], f"{tmp_path}/document", spark)
+    assert js.loads(spark.read.text(f"{tmp_path}/document", wholetext=True).first()[0]) == [{"ü": 1}]
