@@ -299,7 +299,25 @@ def _(t, spark, sf):
     return boundaries.mix_change(t("levels"), KEY)
 
 
-@add("top03_change_points", "track t:d score:d confidence:d")
+def _greedy(separation: float, top: int) -> str:
+    """Common table `picked` (track, n, place): of `cand` (track, place, score) the best by score, then by place, none nearer than separation to one before."""
+    return f""",
+ pick AS (SELECT track, 0 AS n, []::DOUBLE[] AS kept FROM (SELECT DISTINCT track FROM cand) UNION ALL
+  SELECT track, n + 1, list_append(kept, place) FROM (SELECT p.track, n, kept, place, row_number() OVER (PARTITION BY p.track ORDER BY score DESC, place) AS k FROM pick p JOIN cand c ON c.track = p.track
+   WHERE n < {top} AND len(list_filter(kept, lambda q: abs(q - place) < {separation})) = 0) WHERE k = 1),
+ picked AS (SELECT track, n - 1 AS n, kept[n] AS place FROM pick WHERE n > 0)"""
+
+
+def _points_sql(floor: float, factor: float, mad: float, separation: float, top: int) -> str:
+    """Change points of `sc` (track, t, score)."""
+    return f""",
+ med AS (SELECT track, median(score) AS m FROM sc GROUP BY track), dev AS (SELECT track, any_value(m) AS m, median(abs(score - m)) AS d FROM sc JOIN med USING (track) GROUP BY track),
+ cand AS (SELECT track, t AS place, score FROM sc JOIN dev USING (track) WHERE score >= m + greatest({floor}, {factor} * coalesce(nullif(d, 0), {mad})) AND t >= 3)""" + _greedy(separation, top) + """
+ SELECT track, place AS t, score, greatest(0.25, least(1, score / greatest(0.001, max(score) OVER (PARTITION BY track)))) AS confidence FROM picked JOIN cand USING (track, place)"""
+
+
+@add("top03_change_points", "track t:d score:d confidence:d", """
+ WITH sc AS (SELECT track, t * 10 AS t, score FROM (SELECT track, t, abs(db - lag(db) OVER w) / 9 + abs(zcr - lag(zcr) OVER w) * 5 AS score FROM {levels} WINDOW w AS (PARTITION BY track ORDER BY t)) WHERE score IS NOT NULL)""" + _points_sql(0.38, 2.4, 0.05, 5.5, 11))
 def _(t, spark, sf):
     rows = t("levels").withColumn("t", F.col("t") * 10)
     return boundaries.mix_change_points(rows, KEY, F.lit(1e9))
@@ -469,13 +487,19 @@ def _(t, spark, sf):
     return structure.similarity_pairs(_features(t), KEY, 1, 5)
 
 
-@add("top01_period_candidates", "track pick lag_frames combined_similarity:d")
+@add("top01_period_candidates", "track pick lag_frames combined_similarity:d", FEATURES_SQL.rstrip() + """,
+ cand AS (SELECT track, lag_frames AS place, similarity AS score FROM (SELECT *, lag(similarity) OVER w AS a, lead(similarity) OVER w AS b FROM profile WINDOW w AS (PARTITION BY track ORDER BY lag_frames)) WHERE coalesce(similarity >= a, true) AND coalesce(similarity >= b, true))""" + _greedy(2, 8) + """
+ SELECT track, n AS pick, CAST(place AS INT) AS lag_frames, score AS combined_similarity FROM picked JOIN cand USING (track, place)""")
 def _(t, spark, sf):
     profile = structure.lag_profile(_features(t), KEY, 1, 12).withColumnRenamed("similarity", "combined_similarity")
     return structure.period_candidates(profile, KEY, separation=2)
 
 
-@add("clu03_view_agreement", "track group period_frames view_count")
+@add("clu03_view_agreement", "track group period_frames view_count", """
+ WITH o AS (SELECT track, k, event_type AS view, row_number() OVER (PARTITION BY track ORDER BY k, event_type) AS i FROM {ticks}),
+ g AS (SELECT track, i, k, view, 0 AS grp, k::DOUBLE AS s, 1 AS c FROM o WHERE i = 1 UNION ALL
+  SELECT track, i, k, view, grp + new, CASE WHEN new = 1 THEN k ELSE s + k END, CASE WHEN new = 1 THEN 1 ELSE c + 1 END FROM (SELECT o.track, o.i, o.k, o.view, grp, s, c, CASE WHEN o.k - round_even(s / c, 0) > 2 THEN 1 ELSE 0 END AS new FROM g JOIN o ON o.track = g.track AND o.i = g.i + 1))
+ SELECT track, grp AS "group", round_even(median(k), 0) AS period_frames, count(DISTINCT view) AS view_count FROM g GROUP BY track, grp""")
 def _(t, spark, sf):
     rows = t("ticks").select("track", F.col("k").alias("lag_frames"), F.col("event_type").alias("view"))
     return structure.view_agreement(rows, KEY)
@@ -576,7 +600,10 @@ def _(t, spark, sf):
     return boundaries.stem_shares(rows, KEY).select("track", "t", F.col("shares")[0].alias("drums"), F.col("shares")[1].alias("vocals"), "db")
 
 
-@add("top04_stem_change_points", "track t:d score:d confidence:d")
+@add("top04_stem_change_points", "track t:d score:d confidence:d", """
+ WITH sh AS (SELECT track, t, CASE WHEN e > 1e-12 THEN d / e ELSE 0 END AS d, CASE WHEN e > 1e-12 THEN v / e ELSE 0 END AS v, 10 * log10(e + 1e-12) AS db
+  FROM (SELECT track, frame_idx * 55e-2 AS t, value % 5e0 AS d, (k % 10) / 1e1 AS v, value % 5e0 + (k % 10) / 1e1 AS e FROM {ticks})),
+ sc AS (SELECT track, t, score FROM (SELECT track, t, (abs(d - lag(d) OVER w) + abs(v - lag(v) OVER w)) * 1.35 + abs(db - lag(db) OVER w) / 13 AS score FROM sh WINDOW w AS (PARTITION BY track ORDER BY t)) WHERE score IS NOT NULL)""" + _points_sql(0.22, 2.25, 0.03, 4.5, 14))
 def _(t, spark, sf):
     rows = t("ticks").select("track", (F.col("frame_idx") * 0.55).alias("t"), F.explode(F.create_map(F.lit("drums"), F.col("value") % 5.0, F.lit("vocals"), (F.col("k") % 10) / 10)).alias("stem", "energy"))
     return boundaries.stem_change_points(boundaries.stem_shares(rows, KEY), KEY, F.lit(1e9))
@@ -605,12 +632,28 @@ def _(t, spark, sf):
     return voice.stable_runs(_metrics(t), KEY, (F.col("confidence") >= 0.2) & F.col("f0").isNotNull() & (F.col("db") > -55), 4)
 
 
-@add("win06_browser_movements", "track start_s:d end_s:d direction change_cents:d r2:d")
+@add("win06_browser_movements", "track start_s:d end_s:d direction change_cents:d r2:d", """
+ WITH c AS (SELECT track, frame_idx, time_s AS t, 1200 * log2(selected_f0_hz / 440) AS c FROM {glides}),
+ w AS (SELECT track, frame_idx, regr_sxx(c, t) OVER w AS xx, regr_sxy(c, t) OVER w AS xy, regr_syy(c, t) OVER w AS yy, min(t) OVER w AS start_s, max(t) OVER w AS end_s, count(*) OVER w AS n FROM c WINDOW w AS (PARTITION BY track ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING)),
+ f AS (SELECT track, start_s, end_s, xy / xx * (end_s - start_s) AS change, CASE WHEN yy > 0 THEN xy * xy / xx / yy ELSE 0 END AS r2 FROM w WHERE frame_idx % 3 = 0 AND n = 9 AND xx > 0),
+ h AS (SELECT *, CAST(sign(change) AS INT) AS dir FROM f WHERE abs(change) >= 90 AND r2 >= 0.72),
+ i AS (SELECT *, sum(new) OVER (PARTITION BY track ORDER BY start_s) AS g FROM (SELECT *, CASE WHEN dir = lag(dir) OVER (PARTITION BY track ORDER BY start_s) AND start_s <= max(end_s) OVER (PARTITION BY track ORDER BY start_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 0.12 THEN 0 ELSE 1 END AS new FROM h))
+ SELECT track, min(start_s) AS start_s, max(end_s) AS end_s, any_value(dir) AS direction, arg_max(change, abs(change)) AS change_cents, arg_max(r2, abs(change)) AS r2 FROM i GROUP BY track, g""")
 def _(t, spark, sf):
     return voice.browser_movements(t("glides").select("track", F.col("frame_idx").alias("idx"), F.col("time_s").alias("t"), F.col("selected_f0_hz").alias("f0"), F.lit(0.9).alias("confidence")), KEY)
 
 
-@add("win08_browser_register", "track t:d jump_cents:d")
+REGISTER_SQL = ", ".join(f"median(CASE WHEN confidence >= 0.5 THEN {x} END) OVER {w} AS {w}_{n}" for w in "ab" for n, x in (("f0", "f0 * 2"), ("cpps", "hnr / 2"), ("hnr", "hnr"), ("tilt", "tilt"), ("db", "db")))
+
+
+@add("win08_browser_register", "track t:d jump_cents:d", f"""
+ WITH m AS (SELECT track, t, {REGISTER_SQL}, row_number() OVER (PARTITION BY track ORDER BY t) AS i, count(*) OVER (PARTITION BY track) AS n """ + """FROM {levels}
+  WINDOW a AS (PARTITION BY track ORDER BY t ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), b AS (PARTITION BY track ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)),
+ c AS (SELECT track, t, 1200 * log2(b_f0 / a_f0) AS j FROM m WHERE i > 4 AND i <= n - 4 AND coalesce((abs(b_cpps - a_cpps) >= 1.5)::INT, 0) + coalesce((abs(b_hnr - a_hnr) >= 3)::INT, 0) + coalesce((abs(b_tilt - a_tilt) >= 1.5)::INT, 0) + coalesce((abs(b_db - a_db) >= 6)::INT, 0) >= 2),
+ o AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY t) AS i FROM c WHERE abs(j) >= 250),
+ g AS (SELECT track, i, 0 AS grp, t, j FROM o WHERE i = 1 UNION ALL
+  SELECT o.track, o.i, CASE WHEN o.t - g.t >= 0.35 THEN grp + 1 ELSE grp END, CASE WHEN o.t - g.t >= 0.35 OR abs(o.j) > abs(g.j) THEN o.t ELSE g.t END, CASE WHEN o.t - g.t >= 0.35 OR abs(o.j) > abs(g.j) THEN o.j ELSE g.j END FROM g JOIN o ON o.track = g.track AND o.i = g.i + 1)
+ SELECT track, arg_max(t, i) AS t, arg_max(j, i) AS jump_cents FROM g GROUP BY track, grp""")
 def _(t, spark, sf):
     rows = t("levels").withColumnsRenamed({"db": "rms_db"}).withColumns({"cpps": F.col("hnr") / 2, "f0": F.col("f0") * 2})
     return voice.browser_register(rows, KEY)
@@ -833,7 +876,8 @@ def _(t, spark, sf):
     return dsp.prominent_peaks(t("levels"), KEY, "db", 4, 10.0)
 
 
-@add("jn10_mora_distances", "track i j distance:d")
+@add("jn10_mora_distances", "track i j distance:d", """
+ SELECT a.track, a.frame_idx AS i, b.frame_idx AS j, levenshtein(a.label, b.label) / greatest(length(a.label), length(b.label), 1) AS distance FROM {spans} a JOIN {spans} b ON b.track = a.track AND a.frame_idx < b.frame_idx""")
 def _(t, spark, sf):
     units = text.characters(F.array("label"))
     return alignment.mora_matrix(t("spans").select("track", F.col("frame_idx").alias("cycle"), units.alias("morae")), KEY)
