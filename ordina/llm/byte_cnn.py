@@ -31,13 +31,14 @@ PART = 1 << 17
 
 @dataclass(frozen=True)
 class Training:
-    """The sample is at most per_class rows of each label, of texts of most_bytes or less (for learning only).
+    """The sample is at most per_class rows of each label, whatever their length. For learning only, a text of more than most_chars
+    characters gives one span of so many, from a place chosen by a hash of its id.
 
     short: how many sentences out of good texts are added, per good text; short good texts are rare in a sample.
     """
 
     per_class: int = 1500
-    most_bytes: int = 20_000
+    most_chars: int = 20_000
     dimensions: int = 8
     filters: int = 32
     epochs: int = 14
@@ -177,7 +178,10 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training(), id: st
     if len(counts) < 2:
         return None
     rows = sample(marks, "id", "label", how.per_class, 2 * how.per_class)
-    texts = pick(docs, doc_id=id, text=text).where(F.col("text").isNotNull() & (F.octet_length("text") <= how.most_bytes))
+    texts = pick(docs, doc_id=id, text=text).where(F.col("text").isNotNull())
+    spare = F.char_length("text") - how.most_chars
+    start = F.pmod(F.xxhash64(F.lit(29), F.col("doc_id")), F.greatest(spare, F.lit(0)).cast("long") + 1).cast("int") + 1
+    texts = texts.withColumn("text", F.when(spare > 0, F.substr("text", start, F.lit(how.most_chars))).otherwise(F.col("text")))
     found = texts.join(F.broadcast(rows), F.col("doc_id") == F.col("id")).select("doc_id", "text", "label").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     y = found.column("label").to_numpy()
     if len(set(y.tolist())) < 2:

@@ -78,3 +78,18 @@ def test_hub_in_parts(spark, monkeypatch):
     trust = solved([1.0, *[0.0] * 12], links, 0.85)
     distrust = solved([float(k in (3, 4)) for k in range(13)], [(b, a) for a, b in links], 0.85)
     assert np.allclose([got[h].trust for h in hosts], trust, atol=2e-3) and np.allclose([got[h].distrust for h in hosts], distrust, atol=2e-3)
+
+
+def test_byte_cnn_learns_from_long_texts(spark):
+    """Texts beyond most_chars are learned from like others, by a span of each; none is left out."""
+    from ordina.llm import byte_cnn
+
+    rng = np.random.default_rng(8)
+    good = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 300)) for _ in range(60)]
+    bad = [" ".join(rng.choice(["###", "$$$", "||", "%&"], 600)) for _ in range(60)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(good + bad)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 60)) for k in range(120)], "doc_id long, quality int")
+    net = byte_cnn.train(docs, labels, byte_cnn.Training(most_chars=100, epochs=6, short=0.0))
+    assert net is not None
+    rows = byte_cnn.classify(docs, net, 0.5).collect()
+    assert len(rows) == 120 and sum(r.predicted == int(r.doc_id < 60) for r in rows) >= 118
