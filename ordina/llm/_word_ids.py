@@ -14,7 +14,9 @@ import regex
 from ordina.llm._text import Bytes, IdCache, parts
 
 #: The word pattern and the end-of-word mark of the tokenizer file.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+| ")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD = regex.compile(PATTERN + "| ")
+NORMALIZERS = ("NFC", "Replace", "Lowercase")
 END_OF_WORD = "</w>"
 #: Units of these characters (ASCII and precomposed Latin letters) take the fast way.
 PLAIN = regex.compile(r"[\x20-\x7eÀ-įĲ-ňŊ-ž]*")
@@ -38,12 +40,23 @@ def _printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def _read(path: str) -> dict:
+    """The tokenizer's file; one that cuts text in another way than this module does raises."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    normal, split, model = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}, spec["model"]
+    found = (
+        tuple(n["type"] for n in normal.get("normalizers", ())), [p["pattern"].get("Regex") for p in split.get("pretokenizers", ()) if p["type"] == "Split"], model["type"], model.get("end_of_word_suffix"))
+    if found != (NORMALIZERS, [PATTERN], "BPE", END_OF_WORD):
+        raise ValueError(f"{path}: not a tokenizer of words in lower case with byte-pair merges")
+    return spec
+
+
 def _merger(path: str):
     """Byte-pair merges of one word (bytes + END) by rank, from the tokenizer's own vocabulary file."""
     from tiktoken._tiktoken import CoreBPE
 
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+    spec = _read(path)
     special = {t["id"] for t in spec["added_tokens"]}
     byte = _printable_bytes()
 

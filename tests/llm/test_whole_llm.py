@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from ordina.llm import link_rank
 
@@ -93,3 +95,15 @@ def test_byte_cnn_learns_from_long_texts(spark):
     assert net is not None
     rows = byte_cnn.classify(docs, net, 0.5).collect()
     assert len(rows) == 120 and sum(r.predicted == int(r.doc_id < 60) for r in rows) >= 118
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    """A file that cuts words otherwise raises; the given one doesn't."""
+    from ordina.llm import _word_ids
+
+    spec = _word_ids._read(_word_ids.default_tokenizer())
+    other = tmp_path / "other.json"
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "ByteLevel"}}, {"model": spec["model"] | {"end_of_word_suffix": None}}):
+        other.write_text(json.dumps(spec | change), encoding="utf-8")
+        with pytest.raises(ValueError, match="not a tokenizer"):
+            _word_ids._read(str(other))
