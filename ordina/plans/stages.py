@@ -1,6 +1,6 @@
 """The thirteen analysis stages over tables: their operators, parameters and models.
 
-A stage takes DataFrames by name and gives DataFrames by name. Six run programs or networks outside Spark; these pass on
+A stage takes DataFrames by name and gives DataFrames by name. Five run programs or networks outside Spark; these pass on
 the table that the program left.
 """
 
