@@ -3,7 +3,7 @@
 Documents with the same set of shingles are one class from the start. Each class has a
 MinHash signature; classes that agree in a band of it are candidates, and candidates
 connected through bands form clusters. A cluster is one block; one of many classes is split into
-blocks by a band that its classes share, and two blocks meet only if they have a band in common.
+blocks by the bands that most of its classes share, and two blocks meet only if they have a band in common.
 Where blocks meet, the MinHash values of pairs are
 compared some at a time: the agreements so far leave a Beta posterior of the similarity
 (uniform prior), and a pair is dropped as soon as the probability that it reaches the
@@ -30,7 +30,7 @@ from math import lgamma
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -264,6 +264,29 @@ def _verify(how: Join):
     return verify
 
 
+def blocks(wide: DataFrame, size: int) -> DataFrame:
+    """(node, band, n: the band's nodes) to (node, band, block) with about size nodes of a block, alike ones together.
+
+    A node's home is its band of the most nodes, so a group of nodes alike has few homes however its nodes differ. Large homes are cut into blocks.
+    Small ones (below a quarter of a block) share blocks with other small homes of the same anchor, the largest home that they have a band in common with.
+    """
+    order = Window.partitionBy("node")  # at most a row per band
+    homed = durable(wide.select("node", "band", F.max_by("band", F.struct("n", F.xxhash64("band"))).over(order).alias("home")), "jaccard-homes")
+    homes = homed.groupBy("home").agg(F.count_distinct("node").alias("nodes"))
+    near = durable(homed.select("band", "home").distinct().join(homes, "home"), "jaccard-near")
+    top = near.groupBy("band").agg(F.max(F.struct("nodes", "home")).alias("top"))
+    small = near.where(F.col("nodes") * 4 < size).join(top, "band").groupBy("home", "nodes").agg(F.max("top")["home"].alias("anchor"))
+    shares = small.groupBy("anchor").agg(F.ceil(F.sum("nodes") / size).alias("parts"))
+    small = small.join(shares, "anchor").select("home", F.xxhash64("anchor", F.pmod(F.xxhash64("home"), F.col("parts")), F.lit("small")).alias("shared"))
+    # large homes are few, and their rows would meet in a task each
+    cut = homed.join(F.broadcast(homes.where(F.col("nodes") > size).select("home", F.ceil(F.col("nodes") / size).alias("parts"))), "home", "left")
+    whole = cut.where("parts is null").join(small, "home", "left").select("node", "band", F.coalesce("shared", "home").alias("block"))
+    out = cut.where("parts is not null").select("node", "band", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")).union(whole)
+    out = durable(out, "jaccard-blocks")
+    forget(wide.sparkSession, homed, near)
+    return out
+
+
 def join(docs: DataFrame, how: Join = Join(), id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, a, b (the name of its shingle set, null without words), class_id, n_links, class_key.
 
@@ -278,21 +301,21 @@ def join(docs: DataFrame, how: Join = Join(), id: str = "doc_id", text: str = "t
     sets = signed.where("a is not null").groupBy("a", "b").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.first("signature").alias("signature"))
     nodes = durable(sets.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
     banded = nodes.select("node", "signature").mapInArrow(lambda batches: _bands(batches, how), "band long, node long")
-    least = durable(banded.groupBy("band").agg(F.min("node").alias("x"), F.max("node").alias("last")).where("x != last").select("band", "x"), "jaccard-bands")
-    held = durable(banded.join(least, "band"), "jaccard-shared")  # bands of more than one class
+    least = durable(banded.groupBy("band").agg(F.min("node").alias("x"), F.max("node").alias("last"), F.count("*").alias("n")).where("x != last").drop("last"), "jaccard-bands")
+    held = durable(banded.join(least, "band"), "jaccard-shared")  # bands of more than one class, and how many have them
     cluster = components(held.where("node != x").select("x", F.col("node").alias("y")), "jaccard-clusters")
     member = cluster.union(cluster.select(F.col("root").alias("node"), "root").distinct()).distinct()
     member = durable(member.join(nodes.drop("least_id"), "node"), "jaccard-members")
     forget(spark, least, cluster)
-    # a cluster of up to a block's classes stays whole; larger ones are split by the band of least hash that a class shares, which similar classes tend to have in common
+    # a cluster of up to a block's classes stays whole; larger ones are split by bands
     large = member.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > how.block).select("root")
-    wide = held.join(member.select("node", "root").join(large, "root"), "node").select("node", "band")
-    home = wide.groupBy("node").agg(F.min(F.xxhash64("band")).alias("home"))
-    parts = home.groupBy("home").agg(F.ceil(F.count("*") / how.block).cast("int").alias("parts"))
-    home = durable(home.join(parts, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")), "jaccard-blocks")
-    at = durable(wide.join(home, "node").select("band", "block").distinct(), "jaccard-bands-of-blocks")
-    meets = durable(at.join(at.select("band", F.col("block").alias("other")), "band").select("block", "other").distinct(), "jaccard-meets")  # blocks, not classes: a block has many
-    placed = member.join(home, "node", "left")
+    wide = held.join(member.select("node", "root").join(large, "root"), "node").select("node", "band", "n")
+    block = blocks(wide, how.block)
+    at = durable(block.select("band", "block").distinct(), "jaccard-bands-of-blocks")
+    half = at.join(at.select("band", F.col("block").alias("other")), "band").where("block <= other").select("block", "other").distinct()  # blocks, not classes: a block has many
+    half = durable(half, "jaccard-meets")
+    meets = half.union(half.where("block < other").select("other", "block"))
+    placed = member.join(block.select("node", "block").distinct(), "node", "left")
     texts = rows.withColumn("k", F.arrow_udf(lambda t: _identity(t, how.n), T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])).asNondeterministic()("text")).select("text", "k.a", "k.b").where("a is not null")
     full = texts.groupBy("a", "b").agg(F.first("text").alias("text")).join(placed, ["a", "b"])  # copies meet in each task first
     full = durable(full.drop("a", "b"), "jaccard-texts")
@@ -301,7 +324,7 @@ def join(docs: DataFrame, how: Join = Join(), id: str = "doc_id", text: str = "t
     pairs = pairs.select("root", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "copies", "signature", "text")
     found = durable(pairs.groupBy("root", "p", "q").applyInPandas(_verify(how), "x long, y long, links long"), "jaccard-links")
     links = found.where("y is null").groupBy(F.col("x").alias("node")).agg(F.sum("links").alias("links"))
-    forget(spark, member, home, at, meets, full, held)
+    forget(spark, member, block, at, half, full, held)
     roots = components(found.where("y is not null").select("x", "y"), "jaccard-classes")
     named = nodes.select("a", "b", "copies", "least_id", "node").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("class_id"))

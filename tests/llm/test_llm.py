@@ -687,6 +687,29 @@ def test_large_clusters_meet_by_bands(spark):
     assert [got[k].n_links for k in range(60)] == links and [got[k].class_id for k in range(60)] == classes
 
 
+def test_near_copies_have_few_blocks(spark, monkeypatch):
+    """Texts that are all alike, but for a few words of their own, fall into about as many blocks as their number asks for."""
+    base, rng, met = prose(401, 80).split(" "), np.random.default_rng(5), {}
+
+    def counted(df, name, write=jaccard_join.durable):
+        out = write(df, name)
+        met[name] = out.count()
+        return out
+
+    texts = []
+    for k in range(240):
+        words = list(base)
+        for at in rng.choice(len(words), int(rng.integers(1, 4)), replace=False):
+            words[at] = f"w{k}"
+        texts.append(" ".join(words))
+    monkeypatch.setattr(jaccard_join, "durable", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in jaccard_join.join(df, jaccard_join.Join(block=16)).collect()}
+    links, classes = brute_links(texts)
+    assert [got[k].n_links for k in range(240)] == links and [got[k].class_id for k in range(240)] == classes
+    assert met["jaccard-meets"] < 600  # 15 blocks of 16 have 120 pairs; small blocks add some
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     how = jaccard_join.Join()
     least = jaccard_join.least_agreements(how)
