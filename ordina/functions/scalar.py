@@ -1,9 +1,13 @@
-"""Scalar functions on Columns (native expressions only). Unusable numbers are null."""
+"""Scalar functions on Columns (native expressions, but for libm_*). Unusable numbers are null."""
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EPS = 1e-12
 
@@ -25,6 +29,23 @@ def cents_between(a: Column, b: Column) -> Column:
     return F.when((a > 0) & (b > 0), 1200 * F.log2(a / b))
 
 
+@F.arrow_udf(T.DoubleType())
+def libm_power(base: pa.Array, exponent: pa.Array) -> pa.Array:
+    """base to the exponent, bit for bit as the C library gives it (Java's StrictMath differs in the last digit of some)."""
+    return pa.array([None if b is None or x is None else math.pow(b, x) for b, x in zip(base.to_pylist(), exponent.to_pylist(), strict=True)], pa.float64())
+
+
+@F.arrow_udf(T.DoubleType())
+def libm_log2(x: pa.Array) -> pa.Array:
+    """Base-2 logarithm of numbers from 0, bit for bit as the C library gives it."""
+    return pa.array([None if v is None else math.log2(v) if v else -math.inf for v in x.to_pylist()], pa.float64())
+
+
+def libm_cents_between(a: Column, b: Column) -> Column:
+    """cents_between by the C library, for limits that ratios meet exactly (2 ** (25 / 1200)): there the last digit decides."""
+    return 1200 * libm_log2(F.when((a > 0) & (b > 0), a / b))
+
+
 def hz_to_cents(hz: Column) -> Column:
     """Cents above 440 Hz."""
     return cents_between(hz, F.lit(440.0))

@@ -8,7 +8,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordina.functions.scalar import cents_between, cents_to_nearest_semitone, finite, hz_to_cents, hz_to_midi, positive, wrap_residual
+from ordina.functions.scalar import cents_to_nearest_semitone, finite, hz_to_cents, hz_to_midi, libm_cents_between, positive, wrap_residual
 from ordina.operators.series import gap_islands, haloed, islands, Key
 
 ESTIMATES = ("time_s", "pyin_hz", "crepe_hz", "pyin_confidence", "crepe_periodicity")
@@ -29,7 +29,7 @@ def consensus(frames: DataFrame, *, min_periodicity: float = 0.21, fallback_conf
     out = frames.withColumns({"pyin_f0_hz": p, "crepe_f0_hz": c, "pyin_confidence": finite(F.col("pyin_confidence")), "crepe_periodicity": finite(F.col("crepe_periodicity"))})
     p, c = F.col("pyin_f0_hz"), F.col("crepe_f0_hz")
     out = out.withColumn("crepe_reliable", c.isNotNull() & F.coalesce(F.col("crepe_periodicity") >= min_periodicity, F.lit(False)))
-    out = out.withColumn("disagreement_cents", F.abs(cents_between(p, c)))
+    out = out.withColumn("disagreement_cents", F.abs(libm_cents_between(p, c)))
     d, reliable = F.col("disagreement_cents"), F.col("crepe_reliable")
     both = F.when(~reliable, "low-confidence-crepe").when(d <= strong_cents, "strong").when(d <= weak_cents, "weak").otherwise("disagreement")
     alone = F.when(p.isNotNull(), "pyin-only").when(c.isNotNull() & reliable, "crepe-only").when(c.isNotNull(), "crepe-only-low-confidence").otherwise("none")

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ordina.functions.scalar import libm_power
+
 #: Input tables of each derived series and its SQL; {events} and the like stand for the table.
 SERIES: dict[str, str] = {
     "ticks": """
@@ -42,6 +44,8 @@ SERIES: dict[str, str] = {
     "vectors": """
         SELECT CAST(label AS BIGINT) AS track, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS frame_idx, embedding FROM {embeddings} e""",
 }
+#: Series whose values meet limits exactly: Spark computes their powers as DuckDB does, by the C library.
+LIBM = ("estimates",)
 TABLES = ("events", "embeddings", "documents", "conversations")
 
 
@@ -60,8 +64,11 @@ def series(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     def text(n: str) -> str:
         inner = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
         inner |= {m: f"({text(m)})" for m in needs(SERIES[n])}
-        return SERIES[n].format(**inner)
+        sql = SERIES[n].replace("power(", "libm_power(") if n in LIBM else SERIES[n]
+        return sql.format(**inner)
 
+    if name in LIBM:
+        spark.udf.register("libm_power", libm_power)
     return spark.sql(text(name))
 
 

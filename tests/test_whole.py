@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
 
-from ordina.operators import alignment, structure
-from ordina.plans import queries
+from ordina.operators import alignment, pitch, structure
+from ordina.plans import inputs, queries
 
 
 @pytest.fixture(scope="module")
@@ -95,6 +96,17 @@ def events(spark, tmp_path_factory):
 LABELS = ["view", "click", "error", "errorless", "errors"]
 
 
+def test_disagreement_to_the_last_digit(spark, events):
+    """Estimates and their distance are those of the C library (and so of the SQL), bit for bit: at 25 cents the last digit decides."""
+    rows = pitch.consensus(inputs.series(spark, events, "estimates")).collect()
+    assert len(rows) == 160
+    for r in rows:
+        value, k = float(r.frame_idx), (3 * r.frame_idx + r.track) % 10
+        p = None if LABELS[(r.track + r.frame_idx) % 5] == "error" else 220.0 * math.pow(2.0, ((r.track % 12) * 1e2 + value % 37.0) / 12e2)
+        c = 220.0 * math.pow(2.0, ((r.track % 12) * 1e2 + (k % 9) * 9.0) / 12e2)
+        assert (r.pyin_hz, r.crepe_hz) == (p, c) and r.disagreement_cents == (p and abs(1200 * math.log2(p / c)))
+
+
 def test_all_spans(spark, events):
     got = {(r.track, r.i, r.j): r.distance for r in rows_of(spark, events, "jn10_mora_distances")}
     assert len(got) == 40 * 39 // 2 + 120 * 119 // 2
