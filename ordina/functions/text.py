@@ -62,9 +62,13 @@ def morae(kana: Column) -> Column:
     return F.aggregate(letters, F.expr("cast(array() as array<string>)"), step)
 
 
-def lines(text: Column) -> Column:
-    """Trimmed lines that aren't empty."""
-    return F.filter(F.transform(F.split(text, "\\r\\n|\\n|\\r"), F.trim), lambda s: s != "")
+#: Unicode's space separators, which DuckDB's trim takes off.
+SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+
+
+def lines(text: Column, ends: str = "\\r\\n|\\n|\\r") -> Column:
+    """Lines without spaces around them that aren't empty. ends: pattern of a line's end."""
+    return F.filter(F.transform(F.split(text, ends), lambda s: F.trim(s, F.lit(SPACES))), lambda s: s != "")
 
 
 def version(text: Column) -> Column:

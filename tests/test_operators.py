@@ -399,6 +399,13 @@ def test_edit_alignment_ties():
         assert [o for o, _, _ in alignment.aligned(a, b)] == slow_alignment(a, b)
 
 
+def test_lines_keep_their_digits(spark):
+    """Each line loses the spaces around it, and none of its characters."""
+    df = spark.createDataFrame([("0 a \n 1\u00a0\n\n12 b\u3000\r\n3",)], "t string")
+    got = one(df.select(text.lines(F.col("t")).alias("x"), text.lines(F.col("t"), "\n").alias("y")))
+    assert got.x == ["0 a", "1", "12 b", "3"] and got.y == ["0 a", "1", "12 b\u3000\r", "3"]
+
+
 def test_partition(spark):
     lines = ["あ", "い", "う"] * 2 + ["あ", "う"]
     df = spark.createDataFrame([("\n".join(lines),)], "text string")
