@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +182,19 @@ def test_dtw_ties_prefer_fewer_steps():
     assert abs(cost) < 1e-12 and steps == 3
 
 
+def test_cycle_distances_in_blocks(spark, monkeypatch):
+    """Cycles of unequal lengths in several blocks, aligned many at a time, against one by one."""
+    rng = np.random.default_rng(8)
+    x = [rng.integers(-2, 3, (int(n), 3)).astype(float) for n in rng.integers(1, 7, 11)]
+    want = {(i, j): cost / steps for i in range(11) for j in range(i + 1, 11) for cost, steps in [structure.dtw(x[i], x[j])]}
+    rows = spark.createDataFrame([(t, k, m.tolist()) for t in "ab" for k, m in enumerate(x)], "track string, cycle int, frames array<array<double>>").repartition(3)
+    got = [(r.track, (r.i, r.j), r.distance) for r in structure.cycle_distances(rows, KEY, block=4).collect()]
+    assert len(got) == 2 * len(want) and len({(t, p) for t, p, _ in got}) == len(got) and all(np.isclose(d, want[p]) for _, p, d in got)
+    monkeypatch.setattr(structure, "CELLS", 40)  # a few matrices at once
+    i, j, d = structure._distances(np.arange(11), pa.array([m.tolist() for m in x]), np.arange(11), np.arange(11))
+    assert sorted(zip(i.tolist(), j.tolist())) == sorted(want) and all(np.isclose(v, want[p, q]) for p, q, v in zip(i.tolist(), j.tolist(), d))
+
+
 def test_view_agreement(spark):
     rows = spark.createDataFrame([("t", lag, v) for v, lags in {"a": (32, 64), "b": (33, 65), "c": (31, 96)}.items() for lag in lags], "track string, lag_frames int, view string")
     got = structure.view_agreement(rows, KEY).orderBy("group").collect()
