@@ -41,6 +41,12 @@ def libm_log2(x: pa.Array) -> pa.Array:
     return pa.array([None if v is None else math.log2(v) if v else -math.inf for v in x.to_pylist()], pa.float64())
 
 
+@F.arrow_udf(T.DoubleType())
+def libm_sigmoid(x: pa.Array) -> pa.Array:
+    """1 / (1 + exp(-x)), bit for bit as with the C library's exp; 0 where that overflows."""
+    return pa.array([None if v is None else 1 / (1 + math.exp(-v)) if v > -700 or v != v else 0.0 for v in x.to_pylist()], pa.float64())
+
+
 def libm_cents_between(a: Column, b: Column) -> Column:
     """cents_between by the C library, for limits that ratios meet exactly (2 ** (25 / 1200)): there the last digit decides."""
     return 1200 * libm_log2(F.when((a > 0) & (b > 0), a / b))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordina.functions.scalar import sigmoid, softmax
+from ordina.functions.scalar import libm_sigmoid, softmax
 from ordina.operators.series import Key, islands
 
 #: Section labels in class order.
@@ -33,7 +33,7 @@ def peak_strength(frames: DataFrame, key: Key, value: str, past: int = 1200, fut
 
 def section_boundaries(frames: DataFrame, key: Key, size: int = 97, past: int = 1200, future: int = 1200) -> DataFrame:
     """(key, frame_idx) of frames whose section logit peaks."""
-    rows = frames.select(*key, "frame_idx", sigmoid(F.col("section_logit")).alias("p"))
+    rows = frames.select(*key, "frame_idx", libm_sigmoid(F.col("section_logit")).alias("p"))  # where nearly equal ones tie, the last digit decides
     return peak_strength(local_maxima_filter(rows, key, "p", size), key, "p", past, future).where("strength > 0").select(*key, "frame_idx", "strength")
 
 

@@ -195,6 +195,18 @@ def test_cycle_distances_in_blocks(spark, monkeypatch):
     assert sorted(zip(i.tolist(), j.tolist())) == sorted(want) and all(np.isclose(v, want[p, q]) for p, q, v in zip(i.tolist(), j.tolist(), d))
 
 
+def test_section_peaks_to_the_last_digit(spark):
+    """Logits that differ in the last digits peak, or tie, as the C library's exp (and so the SQL) has it."""
+    x = np.unique([(k / 100) % 9.0 - 4.0 for k in range(60000)])
+    p = [1 / (1 + math.exp(-v)) for v in x.tolist()]
+    pairs = [k for k in range(len(x) - 1) if x[k + 1] - x[k] < 1e-9]
+    rows = [(k, f, float(v)) for k in pairs for f, v in enumerate((x[k], x[k + 1]))]
+    df = spark.createDataFrame(rows, "track int, frame_idx int, section_logit double")
+    got = sections.section_boundaries(df, KEY, 3, 1, 1).collect()
+    want = {(k, 1) for k in pairs} | {(k, 0) for k in pairs if p[k] >= p[k + 1]}
+    assert {(r.track, r.frame_idx) for r in got} == want
+
+
 def test_view_agreement(spark):
     rows = spark.createDataFrame([("t", lag, v) for v, lags in {"a": (32, 64), "b": (33, 65), "c": (31, 96)}.items() for lag in lags], "track string, lag_frames int, view string")
     got = structure.view_agreement(rows, KEY).orderBy("group").collect()
