@@ -57,10 +57,10 @@ def strength(envelope: DataFrame, key: Key, radius: int) -> DataFrame:
 
 
 def beat_phase(envelope: DataFrame, periods: DataFrame, key: Key) -> DataFrame:
-    """Per key the offset below the period (column lag) with the greatest total strength / sqrt(count); ties: the smaller."""
+    """Per key the offset below the period (column lag) with the greatest total strength / sqrt(count); ties (equal to nine digits): the smaller."""
     rows = strength(envelope, key, 1).join(periods.select(*key, "lag"), list(key)).withColumn("offset", F.pmod(F.col("frame_idx"), F.col("lag")))
     each = rows.groupBy(*key, "lag", "offset").agg((F.sum("strength") / F.sqrt(F.count("*"))).alias("score"))
-    return each.groupBy(*key, "lag").agg(F.max_by(F.struct("offset", "score"), F.struct("score", -F.col("offset"))).alias("_b")).select(*key, "lag", "_b.offset", "_b.score")
+    return each.groupBy(*key, "lag").agg(F.max_by(F.struct("offset", "score"), F.struct(F.round("score", 9), -F.col("offset"))).alias("_b")).select(*key, "lag", "_b.offset", "_b.score")
 
 
 def beats(envelope: DataFrame, phase: DataFrame, key: Key, hop_s: float = 0.02) -> DataFrame:

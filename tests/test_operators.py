@@ -195,6 +195,15 @@ def test_cycle_distances_in_blocks(spark, monkeypatch):
     assert sorted(zip(i.tolist(), j.tolist())) == sorted(want) and all(np.isclose(v, want[p, q]) for p, q, v in zip(i.tolist(), j.tolist(), d))
 
 
+def test_beat_phase_ties(spark):
+    """Equal in all but rounding: 0.3 + 0 + 0 and 0.1 + 0.1 + 0.1; the smaller offset stands."""
+    value = [0.0] * 24
+    value[2], value[5], value[13], value[21] = 0.3, 0.1, 0.1, 0.1
+    env = frame(spark, frame_idx=list(range(24)), value=value)
+    got = one(rhythm.beat_phase(env, env.select("track").distinct().withColumn("lag", F.lit(8)), KEY))
+    assert got.offset == 1 and np.isclose(got.score, 0.3 / 3**0.5)
+
+
 def test_section_peaks_to_the_last_digit(spark):
     """Logits that differ in the last digits peak, or tie, as the C library's exp (and so the SQL) has it."""
     x = np.unique([(k / 100) % 9.0 - 4.0 for k in range(60000)])
