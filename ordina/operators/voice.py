@@ -7,7 +7,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordina.functions.scalar import clamp, finite, hz_to_cents
+from ordina.functions.scalar import clamp, finite, hz_to_cents, libm_cents_between
 from ordina.operators.series import fill_gaps, gap_islands, haloed, hysteresis, islands, Key, suppress
 
 #: Least change of each feature between neighbouring segments.
@@ -76,8 +76,9 @@ def browser_register(frames: DataFrame, key: Key) -> DataFrame:
     rows = frames.withColumns({f"_a_{c}": median(c, before) for c in ("f0", *limit)} | {f"_b_{c}": median(c, after) for c in ("f0", *limit)})
     rows = rows.withColumns({"_i": F.row_number().over(order), "_n": F.count("*").over(Window.partitionBy(*key))}).where((F.col("_i") > 4) & (F.col("_i") <= F.col("_n") - 4))
     moved = F.array_compact(F.array(*[F.when(F.abs(F.col(f"_b_{c}") - F.col(f"_a_{c}")) >= v, F.lit(c)) for c, v in limit.items()]))
-    rows = rows.withColumns({"jump_cents": 1200 * F.log2(F.col("_b_f0") / F.col("_a_f0")), "features": moved})
-    rows = rows.where((F.abs("jump_cents") >= 250) & (F.size("features") >= 2))
+    rows = rows.withColumn("features", moved).where(F.size("features") >= 2)
+    # a jump and its way back are equal but for the last digit, which decides
+    rows = rows.withColumn("jump_cents", libm_cents_between(F.col("_b_f0"), F.col("_a_f0"))).where(F.abs("jump_cents") >= 250)
     found = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("t", "jump_cents", "features"))).alias("_rows"))
 
     def step(done: Column, row: Column) -> Column:
