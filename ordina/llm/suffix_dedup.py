@@ -29,7 +29,7 @@ share) is too much for one task; its strings are counted one by one by 128-bit h
 partial sums, to the same result.
 
 Defined cases: null counts as empty. Texts shorter than `length` stay whole. Very long texts are
-parsed whole. Copies and repeated rows all lose what they share. Rows stay, even with nothing
+parsed by windows, to the same phrases. Copies and repeated rows all lose what they share. Rows stay, even with nothing
 left. Null ids stay null. An empty table gives an empty result. Columns other than id and text
 are never read by name, so no name clashes.
 """
@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordina.llm._store import durable, flag, flat, forget, pick
-from ordina.llm._text import BASE, BYTE_VALUES, Bytes, buffers, mix, parts, runs
+from ordina.llm._text import BASE, BYTE_VALUES, CHUNK, Bytes, buffers, mix, parts, runs
 
 LENGTH = 200
 #: Bytes of a trigger, and positions among which it is chosen (reach + trigger must not exceed the length).
@@ -55,6 +55,8 @@ CERTAIN, PARTNER, OPEN = 0, 1, 2
 SPAN = "struct<lo: int, n: int, kind: int, core: bigint>"
 #: Contexts of a core that are ordered in one task, and bytes of contexts ordered at once.
 MOST, TOGETHER = 20_000, 2 << 20
+#: Bytes of one text that are parsed at once, and of contexts that are cut out at once; bound a worker's memory however long a text is.
+WINDOW, CONTEXTS = CHUNK, CHUNK
 #: An entry of the dictionary: the text it is taken from, where it begins, its context, and whether its strings are to be decided.
 ENTRY = "core long, g long, lo int, open boolean, context binary"
 PASSAGE = "array<struct<start: bigint, length: bigint>>"
@@ -95,6 +97,22 @@ def phrases(text: Bytes, length: int = LENGTH, reach: int = REACH) -> tuple[np.n
     return start[first], np.diff(np.append(first, len(start))), trigger[first], row[first]
 
 
+def windows(text: Bytes, length: int) -> Iterator[tuple[Bytes, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The phrases of some texts, as phrases() gives them: a buffer, where in the text it begins, and its phrases.
+
+    A text of more than WINDOW bytes goes by windows. The last phrase of a window may go on beyond it, so the next one begins with it.
+    """
+    at, size, most = 0, len(text.buf), max(WINDOW, 2 * length)  # a window has more than one phrase
+    while len(text) == 1 and size - at > most:
+        piece = Bytes(text.buf[at : at + most], np.array([0, most]), text.first)
+        lo, n, trigger, row = phrases(piece, length)
+        yield piece, at, lo[:-1], n[:-1], trigger[:-1], row[:-1]
+        at += int(lo[-1])
+    if at:
+        text = Bytes(text.buf[at:], np.array([0, size - at]), text.first)
+    yield text, at, *phrases(text, length)
+
+
 def _list(values: pa.Array, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
 
@@ -105,16 +123,16 @@ def _parse(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         texts = batch.column("text")
         buf, off = buffers(texts)
         digest = [hashlib.sha256(buf[a:b]).hexdigest() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-        found, counts = [], [np.zeros(0, np.int64)]
-        for text in parts(texts):
-            lo, n, trigger, row = phrases(text, length)
-            core = text.hashes(trigger, trigger + (length - REACH + 1))
-            whole = mix(text.hashes(lo, lo + n - 1 + length, 1) ^ mix(((trigger - lo) * 512 + n).astype(np.uint64)))
-            found.append((core, whole, lo - text.off[row], n))
-            counts.append(np.bincount(row, minlength=len(text)))
+        found, counts = [], np.zeros(len(texts), np.int64)
+        for some in parts(texts):
+            for text, at, lo, n, trigger, row in windows(some, length):
+                core = text.hashes(trigger, trigger + (length - REACH + 1))
+                whole = mix(text.hashes(lo, lo + n - 1 + length, 1) ^ mix(((trigger - lo) * 512 + n).astype(np.uint64)))
+                found.append((core, whole, (lo - text.off[row] + at).astype(np.int32), n.astype(np.int32)))
+                counts[text.first : text.first + len(text)] += np.bincount(row, minlength=len(text))
         core, whole, lo, n = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4))
-        values = pa.StructArray.from_arrays([pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], names=["core", "whole", "lo", "n"])
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "t1", "t2")), pa.array(np.diff(off)), pa.array(digest, pa.string()), _list(values, np.concatenate(counts))], names=["doc_id", "t1", "t2", "n_bytes", "sha256", "phrases"])
+        values = pa.StructArray.from_arrays([pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(lo, pa.int32()), pa.array(n, pa.int32())], names=["core", "whole", "lo", "n"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "t1", "t2")), pa.array(np.diff(off)), pa.array(digest, pa.string()), _list(values, counts)], names=["doc_id", "t1", "t2", "n_bytes", "sha256", "phrases"])
 
 
 def covered(size: int, starts: np.ndarray, numbers: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,9 +171,12 @@ def _entries(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             some = np.flatnonzero(kind > CERTAIN)
             lo, n, kind, row, core = lo[some], n[some], kind[some], row[some], core.take(pa.array(some))
             size = n - 1 + length
-            context = text.buf[runs(lo + text.off[row], size)]
-            off = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([core, pa.array(batch.column("g").to_numpy()[text.first + row]), pa.array(lo.astype(np.int32)), pa.array(kind == OPEN), pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(context.tobytes())])], names=names)
+            g, cut = batch.column("g").to_numpy()[text.first + row], (np.cumsum(size) - size) // CONTEXTS
+            edges = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), len(cut)]
+            for a, b in zip(edges, edges[1:]):
+                context = text.buf[runs(lo[a:b] + text.off[row[a:b]], size[a:b])]
+                off = np.concatenate([[0], np.cumsum(size[a:b])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([core.slice(a, b - a), pa.array(g[a:b]), pa.array(lo[a:b].astype(np.int32)), pa.array(kind[a:b] == OPEN), pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(context.tobytes())])], names=names)
 
 
 def ranks(key: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -187,6 +188,55 @@ def test_cores_stay_whole_over_batches():
             assert Counter(found) == want
 
 
+def parsed_alone(text: bytes) -> tuple[pa.RecordBatch, pa.ListArray]:
+    """What the first step makes of one text, and its phrases as spans that are all to be decided."""
+    row = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text.decode()]), pa.array([1]), pa.array([2])], names=["doc_id", "text", "t1", "t2"])
+    (out,) = suffix_dedup._parse(iter([row]), 200)
+    found = out.column("phrases")
+    core, _, lo, n = found.values.flatten()
+    spans = pa.StructArray.from_arrays([lo, n, pa.array(np.full(len(lo), suffix_dedup.OPEN, np.int32)), core], names=["lo", "n", "kind", "core"])
+    return out, pa.RecordBatch.from_arrays([pa.array([5]), row.column("text"), pa.ListArray.from_arrays(found.offsets, spans)], names=["g", "text", "spans"])
+
+
+def test_long_texts_by_windows_have_the_same_phrases(monkeypatch):
+    """Windows and groups of contexts of any size give what the whole text gives."""
+    names = ["core", "g", "lo", "open", "context"]
+    for text in (prose(31, 900).encode(), b"x" * 1500, b"ab" * 700, ("é" * 400 + "日本語" + prose(32, 90)).encode(), prose(33, 100).encode() * 3, b"short", b""):
+        whole = suffix_dedup.phrases(_text.Bytes(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 0))
+        assert sum(whole[1].tolist()) == max(0, len(text) - 199)
+        want, rows = parsed_alone(text)
+        entries = pa.Table.from_batches(list(suffix_dedup._entries(iter([rows]), 200)))
+        for size in (400, 401, 777):
+            monkeypatch.setattr(suffix_dedup, "WINDOW", size)
+            monkeypatch.setattr(suffix_dedup, "CONTEXTS", size)
+            found, _ = parsed_alone(text)
+            assert found.equals(want)
+            assert found.column("phrases").values.field("lo").to_pylist() == whole[0].tolist()
+            assert found.column("phrases").values.field("n").to_pylist() == whole[1].tolist()
+            some = list(suffix_dedup._entries(iter([rows]), 200))
+            assert pa.Table.from_batches(some).select(names).combine_chunks().equals(entries.select(names).combine_chunks())
+            assert all(sum(map(len, b.column("context").to_pylist())) < size + 600 for b in some)
+        monkeypatch.undo()
+
+
+def test_long_texts_take_bounded_memory():
+    """A worker's memory does not grow with a text's length by more than a few bytes for each of its bytes."""
+    text = prose(34, 1_200_000).encode()
+    assert len(text) > 5 << 20
+    list(suffix_dedup._entries(iter([parsed_alone(text[: 2 << 20])[1]]), 200))  # the tables of powers
+    tracemalloc.start()
+    try:
+        _, rows = parsed_alone(text)
+        parse = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        many = sum(b.num_rows for b in suffix_dedup._entries(iter([rows]), 200))
+        cut = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert many == len(rows.column("spans").values)
+    assert max(parse, cut) < 150 << 20, (parse, cut)
+
+
 def test_suffix_dedup_strips_texts(odd):
     out = suffix_dedup.strip(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
